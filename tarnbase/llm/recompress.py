@@ -47,19 +47,20 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mix(a * _C1 + (b ^ (b >> _U(31))) * _C2 + _C4)
 
 
-class Words:
-    """64-bit names of words, remembered up to a bound."""
+class Words(dict):
+    """64-bit names of words, remembered up to a bound for as long as the worker lives."""
 
-    def __init__(self):
-        self.names: dict[bytes, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        name = self[word] = xxhash.xxh3_64_intdigest(word)
+        return name
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.names) > CACHE_WORDS:
-            self.names.clear()
-        names = self.names
-        for w in set(words).difference(names):
-            names[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(names.__getitem__, words), np.uint64, len(words))
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_NAMES = Words()
 
 
 def symbols(ids: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +69,7 @@ def symbols(ids: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
     `doc` has the document of each word (equal neighbours belong together). The place before a document's first word and the one after its last
     belong to the extents that depend on them.
     """
-    sym, lo, hi = ids.copy(), np.arange(len(ids)), np.arange(1, len(ids) + 1)
+    sym, lo, hi, doc = ids, np.arange(len(ids), dtype=np.int32), np.arange(1, len(ids) + 1, dtype=np.int32), doc.astype(np.int32)
     for k in range(rounds):
         if not len(sym):
             break
@@ -87,21 +88,26 @@ def symbols(ids: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
             sym, lo, hi, doc = np.where(length > 1, _pair(sym[first], length.astype(np.uint64) + _C2), sym[first]), nlo, nhi, doc[first]
             joins = doc[1:] == doc[:-1]
         left_half = (_mix(sym + _U((2 * k + 1) * int(_C1) % (1 << 64))) & _U(1)).astype(bool)
-        pair = np.r_[joins & left_half[:-1] & ~left_half[1:], False]
-        second = np.r_[False, pair[:-1]]
-        to_right, to_left = np.r_[joins, False], np.r_[False, joins]
-        nxt, prv = np.minimum(np.arange(len(sym)) + 1, len(sym) - 1), np.maximum(np.arange(len(sym)) - 1, 0)
+        pair = np.zeros(len(sym), bool)
+        pair[:-1] = joins & left_half[:-1] & ~left_half[1:]
+        stay = np.ones(len(sym), bool)
+        stay[1:] = ~pair[:-1]
         # A pair depends on its two symbols; a left symbol that stays alone on the next one, a right one on the one before.
+        after, before = left_half.copy(), ~left_half
+        after[:-1] &= joins
+        before[1:] &= joins
+        after[-1] = before[0] = False
         nlo, nhi = lo.copy(), hi.copy()
-        met = pair | (left_half & to_right)
-        nlo[met], nhi[met] = np.minimum(lo, lo[nxt])[met], np.maximum(hi, hi[nxt])[met]
-        met = ~left_half & to_left
-        nlo[met], nhi[met] = np.minimum(lo, lo[prv])[met], np.maximum(hi, hi[prv])[met]
-        nhi[left_half & ~to_right] += 1
-        nlo[~left_half & ~to_left] -= 1
-        named = np.where(pair, _pair(sym, sym[nxt]), sym)
-        stay = ~second
-        sym, lo, hi, doc = named[stay], nlo[stay], nhi[stay], doc[stay]
+        np.minimum(nlo[:-1], lo[1:], out=nlo[:-1], where=after[:-1])
+        np.maximum(nhi[:-1], hi[1:], out=nhi[:-1], where=after[:-1])
+        np.minimum(nlo[1:], lo[:-1], out=nlo[1:], where=before[1:])
+        np.maximum(nhi[1:], hi[:-1], out=nhi[1:], where=before[1:])
+        nhi += left_half & ~after
+        nlo -= ~left_half & ~before
+        at = np.flatnonzero(pair)
+        sym = sym.copy()
+        sym[at] = _pair(sym[at], sym[at + 1])
+        sym, lo, hi, doc = sym[stay], nlo[stay], nhi[stay], doc[stay]
     return sym, lo, hi
 
 
@@ -132,7 +138,7 @@ def window_names(ids: np.ndarray, doc: np.ndarray, width: int = WINDOW) -> tuple
 class Group:
     """The documents of one group: words, names and document of each word."""
 
-    def __init__(self, texts: list[str | None], names: Words):
+    def __init__(self, texts: list[str | None], names: Words = _NAMES):
         self.words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.flat = [x for w in self.words for x in w]
@@ -174,8 +180,8 @@ def _blocks(group: int, names: np.ndarray, classes: np.ndarray) -> pa.Table:
 _BLOCK = "class bigint, group bigint, names binary, twice binary"
 
 
-def repeated(blocks: DataFrame) -> DataFrame:
-    """(class, group, hit): a bit per name of each block, set if the name occurs twice in all blocks together."""
+def repeated(blocks: DataFrame, as_names: bool = False) -> DataFrame:
+    """(class, group, hit): the names of each block that occur twice in all blocks together, as a bit for each name or as the names themselves."""
 
     def run(t: pa.Table) -> pa.Table:
         names = [np.frombuffer(x, "<u8") for x in t.column("names").to_pylist()]
@@ -184,17 +190,36 @@ def repeated(blocks: DataFrame) -> DataFrame:
         order = np.argsort(flat, kind="stable")
         ordered, marks = flat[order], np.concatenate(twice)[order].astype(bool)
         same = ordered[1:] == ordered[:-1]
-        hit = np.r_[False, same] | np.r_[same, False] | marks
-        # A name marked as double in one block is double in the others as well: they are then equal neighbours.
+        # A name marked as double in one block and present in another is an equal neighbour there.
         back = np.zeros(len(flat), bool)
-        back[order] = hit
+        back[order] = np.r_[False, same] | np.r_[same, False] | marks
         ends = np.cumsum([len(n) for n in names])
-        bits = [np.packbits(x).tobytes() for x in np.split(back, ends[:-1])]
-        return pa.table([t.column("class"), t.column("group"), pa.array(bits, pa.binary())], names=["class", "group", "hit"])
+        parts = np.split(back, ends[:-1])
+        out = [n[x].tobytes() for n, x in zip(names, parts)] if as_names else [np.packbits(x).tobytes() for x in parts]
+        return pa.table([t.column("class"), t.column("group"), pa.array(out, pa.binary())], names=["class", "group", "hit"])
 
     return blocks.groupBy("class").applyInArrow(run, "class bigint, group bigint, hit binary")
 
 
+def _among(names: np.ndarray, classes: np.ndarray, replies: pa.Table) -> np.ndarray:
+    """Whether each (name, class) is among those of the replies."""
+    found = [(int(c), np.frombuffer(h, "<u8")) for c, h in zip(replies.column("class").to_pylist(), replies.column("hit").to_pylist()) if h]
+    out = np.zeros(len(names), bool)
+    if not found or not len(names):
+        return out
+    held, of = np.concatenate([h for _, h in found]), np.concatenate([np.full(len(h), c) for c, h in found])
+    order = np.lexsort((of, held))
+    held, of = held[order], of[order]
+    at = np.searchsorted(held, names)
+    while True:  # one step but for names of several classes
+        here = np.minimum(at, len(held) - 1)
+        match = (at < len(held)) & (held[here] == names)
+        out |= match & (of[here] == classes)
+        if not (match & ~out).any():
+            return out
+        at = at + 1
+
+
 def _lookup(names: np.ndarray, classes: np.ndarray, replies: pa.Table) -> np.ndarray:
     """Whether each name is repeated, from the replies to this group's blocks."""
     order = np.lexsort((names, classes))
@@ -228,7 +253,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, g
     of = _U(classes)
 
     def load(t: pa.Table) -> Group:
-        return Group(t.column("text").to_pylist(), Words())
+        return Group(t.column("text").to_pylist())
 
     def top_blocks(t: pa.Table) -> pa.Table:
         g = load(t)
@@ -248,15 +273,9 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, g
         return _blocks(t.column("group")[0].as_py(), a, c)
 
     def cleaned(t: pa.Table, replies: pa.Table) -> pa.Table:
-        g = load(t) if t.num_rows else Group([], Words())
-        if t.num_rows:
-            step = replies.column("step").to_pylist()
-            first = replies.filter(pa.array([x == 1 for x in step], pa.bool_()))
-            then = replies.filter(pa.array([x == 2 for x in step], pa.bool_()))
-            start, a, c = left_windows(g, first)
-            found = start[_lookup(a, c, then)]
-        else:
-            found = np.zeros(0, np.int64)
+        g = load(t) if t.num_rows else Group([])
+        start, a, b = window_names(g.ids, g.doc, width) if replies.num_rows else window_names(g.ids[:0], g.doc[:0], width)
+        found = start[_among(a, (b % of).astype(np.int64), replies)]
         edge = np.zeros(len(g.flat) + width + 1, np.int64)
         np.add.at(edge, found, 1)
         np.add.at(edge, found + width, -1)
@@ -274,6 +293,6 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, g
         return pa.table([ids, pa.array(g.lengths, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     tops = repeated(dealt.groupBy("group").applyInArrow(top_blocks, _BLOCK))
-    exact = repeated(dealt.groupBy("group").cogroup(tops.groupBy("group")).applyInArrow(window_blocks, _BLOCK))
-    replies = tops.withColumn("step", F.lit(1)).unionByName(exact.withColumn("step", F.lit(2)))
-    return dealt.groupBy("group").cogroup(replies.groupBy("group")).applyInArrow(cleaned, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    exact = repeated(dealt.groupBy("group").cogroup(tops.groupBy("group")).applyInArrow(window_blocks, _BLOCK), as_names=True)
+    schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
+    return dealt.groupBy("group").cogroup(exact.groupBy("group")).applyInArrow(cleaned, schema)
