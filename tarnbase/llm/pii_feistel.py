@@ -157,10 +157,10 @@ def _is(kind: str):
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """The rows with `text` pseudonymised and `n_<kind>` counts (long) of what was replaced."""
     names = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS} and c != text]
-    found = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__t"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0)).alias("__m"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")] if names else []
+    found = docs.select(*row, F.col(f"`{text}`").alias("__t"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0)).alias("__m"))
     found = found.withColumn("__k", F.transform("__m", kind_of))
     pieces = F.zip_with(F.zip_with("__m", "__k", lambda m, k: pseudonym(m, k, key)), F.split("__t", PATTERN), lambda r, p: F.concat(p, F.coalesce(r, F.lit(""))))
     rebuilt = F.when(F.coalesce(F.size("__m"), F.lit(0)) == 0, F.col("__t")).otherwise(F.array_join(pieces, ""))
     counts = [F.coalesce(F.size(F.filter("__k", _is(kind))), F.lit(0)).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    out = found.select(*[F.col(f"`{c}`") for c in names], rebuilt.alias(text), *counts)
-    return out
+    return found.select(*[F.col("__row").getField(c).alias(c) for c in names], rebuilt.alias(text), *counts)

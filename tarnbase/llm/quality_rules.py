@@ -77,7 +77,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` with the measured columns (all long)."""
     keep = [c for c in docs.columns if c not in MEASURES]
     stops = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
-    staged = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"))
+    # The other columns travel in one struct, so that their names cannot clash with those used here.
+    row = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row")] if keep else []
+    staged = docs.select(*row, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"))
     staged = staged.withColumns({"__w": words_of(F.col("__t")), "__l": F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     staged = staged.withColumn(
         "__s",
@@ -91,7 +93,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     lines = F.size("__l").cast("long")
     return staged.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col("__row").getField(c).alias(c) for c in keep],
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.regexp_count("__t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),

@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-Two second-order character models are estimated from labelled samples; a token whose log-likelihood ratio per character is above
+Two first-order character models are estimated from labelled samples; a token whose log-likelihood ratio per character is above
 `THRESHOLD` is a span of kind `random`, unless it touches a pattern's span. Texts pass through Arrow batches, one at a time.
 
 Defined cases: a null text has no spans; spans are code points, end exclusive; very long texts are scanned whole; equal rows give equal rows; an
@@ -30,7 +30,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = ("passw", "secret", "token", "api")
 #: Tokens that the models judge: long runs with a digit and a letter.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-THRESHOLD = 0.6
+THRESHOLD = 0.25
 _CLASS = str.maketrans({c: "x" for c in "+/=-_"})
 # Words that identifiers are made of.
 IDENTIFIER_WORDS = (
@@ -70,7 +70,7 @@ def samples(n: int = 4000, seed: int = 20) -> list[tuple[str, int]]:
 
 @dataclass(frozen=True)
 class Markov:
-    """log P(char | two before) of both labels, with add-`smooth` smoothing over the alphabet."""
+    """log P(char | the one before) of both labels, with add-`smooth` smoothing over the alphabet."""
 
     ratio: dict[str, float]
     unseen: dict[str, float]
@@ -82,13 +82,13 @@ class Markov:
         before: list[dict[str, int]] = [{}, {}]
         alphabet = set()
         for s, y in labelled:
-            t = "^^" + s.translate(_CLASS)
+            t = "^" + s.translate(_CLASS)
             alphabet.update(t)
-            for i in range(2, len(t)):
-                count[y][t[i - 2 : i + 1]] = count[y].get(t[i - 2 : i + 1], 0) + 1
-                before[y][t[i - 2 : i]] = before[y].get(t[i - 2 : i], 0) + 1
+            for i in range(1, len(t)):
+                count[y][t[i - 1 : i + 1]] = count[y].get(t[i - 1 : i + 1], 0) + 1
+                before[y][t[i - 1]] = before[y].get(t[i - 1], 0) + 1
         a = max(1, len(alphabet))
-        p = lambda y, g: math.log((count[y].get(g, 0) + smooth) / (before[y].get(g[:2], 0) + smooth * a))
+        p = lambda y, g: math.log((count[y].get(g, 0) + smooth) / (before[y].get(g[0], 0) + smooth * a))
         ratio = {g: p(1, g) - p(0, g) for g in {*count[0], *count[1]}}
         pairs = {*before[0], *before[1]}
         return cls(ratio, {b: p(1, b + "\0") - p(0, b + "\0") for b in pairs}, 0.0)
@@ -97,13 +97,13 @@ class Markov:
         """Log-likelihood ratio per character; positive: rather random."""
         if not s:
             return 0.0
-        t = "^^" + s.translate(_CLASS)
+        t = "^" + s.translate(_CLASS)
         got = self.ratio.get
         total = 0.0
-        for i in range(2, len(t)):
-            g = t[i - 2 : i + 1]
+        for i in range(1, len(t)):
+            g = t[i - 1 : i + 1]
             x = got(g)
-            total += self.unseen.get(g[:2], self.other) if x is None else x
+            total += self.unseen.get(g[0], self.other) if x is None else x
         return total / len(s)
 
 
