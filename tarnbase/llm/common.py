@@ -50,5 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Thin rows that may be sent to every executor; larger sides are joined by exchange.
+BROADCAST_ROWS = 250_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A hint to broadcast only where the counted rows are within the bound."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

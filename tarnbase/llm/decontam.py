@@ -17,18 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, words_of
+from .common import bounded, cut, row_key, words_of
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 20
-#: Rows of 16 bytes that may be sent to every executor; larger sides are joined by exchange.
-BROADCAST_ROWS = 250_000
-
-
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """A hint to broadcast only where the counted rows are within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def shingle_hashes(words: str, width: int = SHINGLE_WORDS) -> Column:

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import bounded, cut, word_count
 
 #: Weights by the source's place in code-point order, repeating. Most copies of a document.
 WEIGHTS = (5, 2, 1)
@@ -94,7 +94,8 @@ def entropy_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     sources = cut(sources.withColumn("__src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).drop("source"))
     info = cut(picks(cells.where("__words > 0").drop("source").join(sources.select("__src", "rate"), "__src")).join(sources, "__src"))
     # Ranges of the hash: about ROWS_PER_RANGE rows of a class each, counted before any row is ranked.
-    ranged = held.drop("source").join(info, ["__src", "__class"], "left")
+    n_info = info.count()  # a row per source and size class
+    ranged = held.drop("source").join(bounded(info, n_info), ["__src", "__class"], "left")
     doubling = F.greatest(F.lit(0.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("__n") / float(ROWS_PER_RANGE))))).cast("int")
     ranged = ranged.withColumn("__range", F.coalesce(F.expr("shiftrightunsigned(__h, 24)") % F.pow(F.lit(2.0), doubling).cast("long"), F.lit(0)))
     counts = ranged.where("__m > 0").groupBy("__src", "__class", "__range").agg(F.count(F.lit(1)).alias("__c"))
@@ -104,7 +105,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     place = F.row_number().over(Window.partitionBy("__src", "__class", "__range", F.when(F.col("__m").isNull() | (F.col("__m") == 0), F.col("__h"))).orderBy("__h", "doc_id"))
     more = F.when(F.col("__before") + place <= F.col("__m"), 1).otherwise(0)
     out = ranked.withColumn("copies", F.coalesce(F.col("__all") + more, F.lit(0)).cast("long")).drop("target", "source_size", "rate", "__all", "__m", "__n", "__before")
-    out = out.join(sources.select("__src", "source_size", "target"), "__src", "left")
+    out = out.join(bounded(sources.select("__src", "source_size", "target"), sources.count()), "__src", "left")
     out = out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken"), "__h")
     if not carry:
         return out.drop("__h")
