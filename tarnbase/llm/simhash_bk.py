@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_
     edges = shard_links(shards(distinct.select("fp"), radius), radius)
     roots = components(edges)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Cut before the join, so that adaptive execution may split the rows of a root that very many fingerprints have.
+    of_root = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
     by_fp = cut(named.join(of_root, "root").select("fp", "component_id"))
     return held.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
