@@ -112,11 +112,11 @@ def scan_licences(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     small = F.broadcast if n <= 10_000 else (lambda x: x)
     whole = known.where("whole").groupBy("digest").agg(F.min("licence").alias("license_id"))
     lines = known.where("NOT whole").groupBy("digest").agg(F.min("licence").alias("__l")).withColumnRenamed("digest", "__d")
-    read = docs.select("doc_id", F.col("text").alias("__t")).withColumn("digest", F.sha2(canonical(F.col("__t")), 256))
-    found = read.select("doc_id", "digest", F.filter(F.split(F.coalesce("__t", F.lit("")), "\n"), lambda x: x.rlike("(?i)licen[sc]e")).alias("__x"))
-    found = found.withColumn("__x", F.transform("__x", lambda x: F.sha2(canonical(x), 256)))
-    # Only lines that name a licence are exploded; each row's notices come back under its own two hashes.
-    keyed = found.select("doc_id", "digest", "__x", *row_key(F.col("doc_id"), F.col("digest"), F.array_join("__x", ",")))
-    hit = keyed.select("__k1", "__k2", F.explode_outer("__x").alias("__d")).join(small(lines), "__d").groupBy("__k1", "__k2").agg(F.array_join(F.array_sort(F.collect_set("__l")), ",").alias("notices"))
-    found = keyed.join(hit, ["__k1", "__k2"], "left").withColumn("notices", F.coalesce("notices", F.lit("")))
+    read = docs.select("doc_id", F.col("text").alias("__t"), *row_key(F.col("doc_id"), F.col("text")))
+    # Only lines that name a licence are exploded; each row's notices come back under its own two hashes, so neither side needs the other's digests.
+    lined = read.select("__k1", "__k2", F.filter(F.split(F.coalesce("__t", F.lit("")), "\n"), lambda x: x.rlike("(?i)licen[sc]e")).alias("__x"))
+    lined = lined.select("__k1", "__k2", F.explode_outer("__x").alias("__y")).where("__y IS NOT NULL").select("__k1", "__k2", F.sha2(canonical(F.col("__y")), 256).alias("__d"))
+    hit = lined.join(small(lines), "__d").groupBy("__k1", "__k2").agg(F.array_join(F.array_sort(F.collect_set("__l")), ",").alias("notices"))
+    found = read.select("doc_id", "__k1", "__k2", F.sha2(canonical(F.col("__t")), 256).alias("digest"))
+    found = found.join(hit, ["__k1", "__k2"], "left").withColumn("notices", F.coalesce("notices", F.lit("")))
     return found.join(small(whole), "digest", "left").select("doc_id", "digest", "license_id", "notices")
