@@ -15,8 +15,6 @@ ranked like any two rows; an empty table gives an empty table; other columns may
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,8 +119,3 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     mixed = entropy_mix(docs, carry=True, **options).where("copies > 0")
     rows = mixed.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy_no"))
     return rows.select(*[F.col("__row").getField(c).alias(c) for c in names], "copy_no")
-
-
-def rounding_error_bound(sizes: list[int]) -> float:
-    """Words by which a source can miss its target: half of its smallest size class, and the spread within classes."""
-    return (min(sizes) if sizes else 0) * (1 + math.log1p(len(sizes)))
