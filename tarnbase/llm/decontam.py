@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification. DataFrame operations only.
 
 A window is as many consecutive words of a document as a benchmark item has. Its weighted-shingle similarity to the item is
-sum min / sum max over the counts of 5-word shingles (lower-cased words). A window of similarity above 0 has a shingle of the item, and
-of the windows that do, the best is one that aligns a shared shingle; so only those are fingerprinted, which loses nothing and spares a
-fingerprint at every word. Fingerprints of windows and items of one size within `RADIUS` bits agree on one of `RADIUS + 1` blocks (pigeonhole),
+sum min / sum max over the counts of 5-word shingles (lower-cased words). Only windows that can reach the threshold are fingerprinted, which
+loses nothing: a window of w shingles and an item of m share at least similarity * (w + m) / (1 + similarity) of them, so it holds as many
+positions whose shingle some item of its size has; and a best window starts at such a position (or is the document's last one), as moving its start
+on to the next such position drops no shared shingle. Fingerprints of windows and items of one size within `RADIUS` bits agree on one of `RADIUS + 1` blocks (pigeonhole),
 which an equi-join on (size, block, bits) finds without exception; candidates are then verified exactly. At similarity 0.8
 a window differs from its item in 9.6 of 64 bits on average, 2.9 its standard deviation; beyond 20 bits it is less than one in 10,000.
 
@@ -54,12 +55,23 @@ def common(a: str, b: str) -> str:
     return f"size(array_intersect({numbered(a)}, {numbered(b)}))"
 
 
+def window_starts(n: str, m: str, at: str, similarity: float) -> Column:
+    """Starts of the windows that can reach the similarity, from `at`, the sorted positions of shingles that an item of `m` shingles has.
+
+    `n`: shingles of the document. Positions too near to its end stand for its last window, a document shorter than the item is one window.
+    """
+    need = f"cast(ceil({similarity} * (least({n}, {m}) + {m}) / {1 + similarity} - 1e-9) as int)"
+    inside = f"CASE WHEN get({at}, i + {need} - 1) < x + {m} THEN x END"
+    last = f"CASE WHEN get({at}, size({at}) - {need}) >= {n} - {m} THEN greatest(0, {n} - {m}) END"
+    return F.expr(f"array_distinct(filter(transform({at}, (x, i) -> CASE WHEN x <= {n} - {m} THEN {inside} ELSE {last} END), s -> s IS NOT NULL))")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, keys: bool = False) -> DataFrame:
     """(doc_id, item_id, similarity, distance, start_word, n_windows) of each document that holds a benchmark item; with `keys` also the row's key."""
     items = benchmark.select("item_id", words_of(F.lower("text")).alias("w")).where("size(w) > 0").select("item_id", shingle_hashes("w").alias("ih"))
     items = items.select("item_id", "ih", F.size("ih").alias("m"), simhash("ih").alias("ifp"))
     items = cut(items.withColumn("iid", F.monotonically_increasing_id()))
-    entries = cut(items.select("m", F.posexplode("ih").alias("q", "h")).distinct())
+    entries = cut(items.select("m", F.explode("ih").alias("h")).distinct())
     items = items.withColumn("ih", F.sort_array("ih"))
     n_entries = entries.count()
     wanted = entries.select("h").distinct()
@@ -69,14 +81,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     # The outer form: the inner one makes Spark filter by the size of the array first, and so hash every text twice.
     exploded = hashed.select("__k1", "__k2", F.size("h").alias("n"), F.posexplode_outer("h").alias("p", "h"))
     hits = exploded.join(bounded(wanted, n_entries), "h", "left_semi")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("m")))
-    proposed = hits.join(bounded(entries, n_entries), "h").select("__k1", "__k2", "m", start.alias("s")).distinct()
-    proposed = cut(proposed.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("m", "s")).alias("at")))
+    met = hits.join(bounded(entries, n_entries), "h").groupBy("__k1", "__k2", "n", "m").agg(F.sort_array(F.collect_set("p")).alias("p"))
+    starts = met.select("__k1", "__k2", "m", window_starts("n", "m", "p", similarity).alias("s")).where("size(s) > 0")
+    proposed = cut(starts.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("m", "s")).alias("at")))
     n_docs = proposed.count()
 
     met = read.join(bounded(proposed, n_docs), ["__k1", "__k2"]).select("doc_id", "__k1", "__k2", "at", words_of(F.lower("text")).alias("w"))
     met = met.select("doc_id", "__k1", "__k2", "at", shingle_hashes("w").alias("h")).select("doc_id", "__k1", "__k2", "h", F.explode("at").alias("a"))
-    windows = met.select("doc_id", "__k1", "__k2", F.col("a.m").alias("m"), F.col("a.s").alias("s"), F.sort_array(F.slice("h", F.col("a.s") + 1, F.col("a.m"))).alias("wh"))
+    met = met.select("__k1", "__k2", "doc_id", "h", F.col("a.m").alias("m"), F.explode("a.s").alias("s"))
+    windows = met.select("doc_id", "__k1", "__k2", "m", "s", F.sort_array(F.slice("h", F.col("s") + 1, F.col("m"))).alias("wh"))
     windows = cut(windows.select("*", simhash("wh").alias("wfp")))
 
     left = windows.select("__k1", "__k2", "m", "s", "wfp", F.explode(blocks("wfp", radius)).alias("x")).select("__k1", "__k2", "m", "s", "wfp", "x.*")

@@ -334,6 +334,8 @@ def test_leaks_against_brute_force(spark, sf, docs):
     items = bench.collect()
     words = items[1].text.split()
     edited = [" ".join(["intro"] * 9 + words[:12] + ["extra"] + words[12:] + ["end"]), items[2].text.upper(), " ".join(words[: len(words) // 2])]
+    half, tail = len(words) // 2, ["other", "words", "follow"] * 30
+    edited += [" ".join([*tail, *words[half:], *words[:half], *tail]), " ".join(words[3:]), " ".join([*tail, *words[half:], *words[:half]])]
     more = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(edited)], "doc_id bigint, text string")
     d = docs.select("doc_id", "text").unionByName(more)
     rows = d.collect()
