@@ -29,3 +29,25 @@ def format_bytes(n: float) -> str:
 
 def format_percent(x: float) -> str:
     return f"{100 * x:.1f}%"
+
+
+# Labels of commands; a name in braces stands for the command's argument.
+LABELS = {
+    "create_table": "CREATE TABLE {name}", "create_index": "CREATE INDEX {name} ON ({column})", "drop_index": "DROP INDEX {name}",
+    "insert": "INSERT key={key}", "bulk_insert": "BULK INSERT ×{count} ({pattern})", "update": "UPDATE key={key}", "delete": "DELETE key={key}",
+    "search": "SELECT … WHERE pk={key}", "range_scan": "SELECT … WHERE pk BETWEEN {low} AND {high}", "full_scan": "SELECT … (full index scan)",
+    "flush_all": "FLUSH DIRTY PAGES", "configure": "SET {names}", "commit_txn": "COMMIT", "abort_txn": "ROLLBACK", "flush_memtable": "FLUSH MEMTABLE → L0",
+}
+
+
+def command_label(kind: str, **arguments: object) -> str:
+    """One line for a command; kinds whose text depends on an option are composed here."""
+    if kind == "begin_txn":
+        level = arguments.get("isolation")
+        return f"BEGIN ISOLATION LEVEL {str(level).replace('-', ' ').upper()}" if level else "BEGIN"
+    if kind == "vacuum":
+        return "VACUUM FULL" if arguments.get("full") else "VACUUM"
+    if kind == "compact":
+        level = arguments.get("level")
+        return "COMPACT" if level is None else f"COMPACT L{level} → L{level + 1}"
+    return LABELS.get(kind, kind.replace("_", " ").upper()).format(**arguments)

@@ -519,3 +519,6 @@ def memtable_stall_fold(spark, d):
 @query()
 def heap_placement(spark, d):
     return stateful.heap_placement(_writes(spark, d).select((F.col("key") % 8).alias("tbl"), "lsn", "key", "op"), per_page=4)
+
+
+from . import registry_storage  # noqa: E402, F401  (adds its queries)

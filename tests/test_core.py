@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnbase import registry
 from tarnbase.functions import numbers, text
-from tarnbase.operators import events, log, stateful
+from tarnbase.operators import catalogue, events, log, stateful
 from tarnbase.plans import cost
 from tarnbase.plans.engines import CAPABILITIES, Unsupported, create_engine, list_engines
 from tarnbase.plans.predicate import Predicate
@@ -230,3 +230,13 @@ def test_streaming(spark, sf, tmp_path):
     got = log.merged_view(spark.read.parquet(str(tmp_path / "out")).drop("epoch"))
     want = log.merged_view(tables.writes(tables.table(spark, sf, "events")))
     assert plain(got.select("key", "lsn").collect()) == plain(want.select("key", "lsn").collect())
+
+
+def test_labels_and_catalogue(spark):
+    assert text.command_label("range_scan", low=1, high=9) == "SELECT … WHERE pk BETWEEN 1 AND 9"
+    assert text.command_label("begin_txn", isolation="repeatable-read") == "BEGIN ISOLATION LEVEL REPEATABLE READ"
+    assert [text.command_label("compact"), text.command_label("compact", level=0), text.command_label("vacuum", full=True)] == ["COMPACT", "COMPACT L0 → L1", "VACUUM FULL"]
+    kinds = catalogue.catalogue(spark).collect()
+    assert len(kinds) == len({r.type for r in kinds}) == 99 and sum(r.key_frame for r in kinds) == len(catalogue.KEY_FRAMES) == 33
+    none = catalogue.payload_metrics(spark.createDataFrame([], "type string, detail string, amount bigint")).first()
+    assert none.wal_bytes == 0 and none.scan_rows == 0 and none.copies_per_row is None
