@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import tempfile
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -79,3 +80,11 @@ def write_row_groups(rows: DataFrame, path: str, order_by: str, bytes_per_group:
 
 def append_log(records: DataFrame, path: str) -> None:
     records.write.mode("append").parquet(path)
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the folder that `spark.checkpoint.dir` names; only where it is unset (tests, a laptop) a temporary one is used."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnbase-"))
+    return df.checkpoint(eager=True)

@@ -240,3 +240,36 @@ def test_labels_and_catalogue(spark):
     assert len(kinds) == len({r.type for r in kinds}) == 99 and sum(r.key_frame for r in kinds) == len(catalogue.KEY_FRAMES) == 33
     none = catalogue.payload_metrics(spark.createDataFrame([], "type string, detail string, amount bigint")).first()
     assert none.wal_bytes == 0 and none.scan_rows == 0 and none.copies_per_row is None
+
+
+@pytest.mark.parametrize("engine", ["heap", "lsm", "fractal"])
+def test_bulk_segments_and_sealed_tail(spark, engine, monkeypatch):
+    """Loads stay DataFrames; sealing the tail, compaction and vacuum keep the answer."""
+    from tarnbase.plans import engines
+
+    monkeypatch.setattr(engines, "TAIL_ROWS", 3)
+    e = create_engine(spark, engine)
+    e.load(spark.range(1, 6).selectExpr("id", "'n' AS name", "'c' AS city", "id AS score"))
+    e.execute("bulk_insert", count=4, pattern="reverse", start=4)
+    for k in (1, 2, 7):
+        e.execute("delete", key=k)
+    e.execute("update", key=3, row={"name": "x", "city": "y", "score": 1})
+    assert len(e.segments) == 3 and len(e.tail) == 1
+    want = [(3, "x"), (4, "edgar-4"), (5, "fay-5"), (6, "gray-6")]
+    read = lambda: [(r.id, r.name) for r in e.execute("full_scan").collect()]
+    assert read() == want
+    if engine == "heap":
+        e.execute("begin_txn")
+        e.execute("bulk_insert", count=2, pattern="sequential", start=5)
+        e.execute("use_session", session="b")
+        with pytest.raises(Unsupported):
+            e.execute("insert", key=6)
+        with pytest.raises(Unsupported):
+            e.execute("bulk_insert", count=3, pattern="sequential", start=6)
+        e.execute("use_session", session="main")
+        e.execute("abort_txn")
+        e.execute("vacuum")
+        assert not e.status and sum(s.count() for s in e.segments) + len(e.tail) == 5 + 4 + 4
+    else:
+        e.execute("compact")
+    assert read() == want
