@@ -119,4 +119,14 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM w
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _RULES_SQL, "op4_license_scan": _LICENCES_SQL, "op10_recompression": _REPEATS_SQL}
+# A base32 character is five bits; five hex digits hold four of them.
+_ARCHIVES_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT page_id, t, h, max(page_id) OVER (PARTITION BY t) AS last FROM p)
+SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(h, 5 * (i // 4)::INTEGER + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1), 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM m"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _RULES_SQL, "op4_license_scan": _LICENCES_SQL, "op9_warc": _ARCHIVES_SQL, "op10_recompression": _REPEATS_SQL}
