@@ -236,10 +236,15 @@ def mixed_hash(spark, d):
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("key"), numbers.mix32(F.col("c_custkey")).alias("h"))
 
 
-@query()
+_BLOOM_BITS, _BLOOM_HASHES = numbers.bloom_shape(1000, 10)
+_BLOOM = f"""h AS (SELECT c_custkey AS key, {_mix_sql('c_custkey')} AS a, {_mix_sql(f"xor(c_custkey, {numbers.GOLDEN})")} | 1 AS u FROM customer),
+p AS (SELECT key, unnest(list_transform(range({_BLOOM_HASHES}), lambda i: abs((a + i * (CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END)) % {_BLOOM_BITS}))) AS bit FROM h)"""
+
+
+@query("SELECT count(*) AS probes, count(*) FILTER (missing > 0) AS skips FROM (SELECT key, count(*) FILTER (bit NOT IN (SELECT bit FROM p WHERE key % 2 = 0)) AS missing FROM p WHERE key % 2 = 1 GROUP BY key)", _BLOOM)
 def bloom_probe(spark, d):
     """For even keys a filter is built; how many odd keys it excludes."""
-    bits, hashes = numbers.bloom_shape(1000, 10)
+    bits, hashes = _BLOOM_BITS, _BLOOM_HASHES
     keys = _t(spark, d, "customer").select(F.col("c_custkey").alias("key"))
     even = keys.where("key % 2 = 0").select(F.explode(numbers.bloom_positions(F.col("key"), bits, hashes)).alias("bit")).distinct()
     odd = keys.where("key % 2 = 1").select("key", F.explode(numbers.bloom_positions(F.col("key"), bits, hashes)).alias("bit"))
