@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
-from .operators import catalogue, log, mvcc
+from .operators import catalogue, events, log, mvcc
 from .registry import _CHUNKS, _EVENTS, _LOG, _RUNS, _VERSIONS, PER_BLOCK, _H, _chunks, _events, _runs, _t, _versions, _writes, query
 from .sources import tables
 
@@ -240,3 +240,41 @@ def _label(op: Column, key: Column) -> Column:
     for name, kind in words.items():
         out = F.when(op == name, F.concat(F.lit(text.command_label(kind, key="")), key.cast("string"))).otherwise(out)
     return out
+
+
+# -- files, clocks, transactions, bulk keys ---------------------------------------------------------------------------
+
+_PER_FILE = 40
+
+
+@query(
+    f"""SELECT file, min(key) AS min_key, max(key) AS max_key, count(*) AS entries FROM newest JOIN (
+  SELECT rng, coalesce(sum(n) OVER (ORDER BY rng ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {_PER_FILE} AS file
+  FROM (SELECT key // {_PER_FILE} AS rng, count(*) AS n FROM newest WHERE op <> 'delete' GROUP BY 1)) f ON key // {_PER_FILE} = rng WHERE op <> 'delete' GROUP BY file""",
+    _LOG,
+)
+def compaction_files(spark, d):
+    """The bottom level's output, split into files by key range."""
+    w = _writes(spark, d)
+    files = log.split_runs(log.merged_view(w.select("key", "lsn", "op")), _PER_FILE)
+    return files.groupBy("file").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), _n().alias("entries"))
+
+
+@query("SELECT min(seq) AS seq FROM (SELECT seq, sum(duration) OVER (ORDER BY seq) AS t FROM e) WHERE t >= 20000", _EVENTS)
+def time_to_event(spark, d):
+    """The first event at or after a logical time."""
+    return events.clock(_events(spark, d)).where("t >= 20000").agg(F.min("seq").alias("seq"))
+
+
+@query("SELECT xid, min(lsn) AS began, CASE WHEN min(status) <> 'active' THEN max(lsn) END AS ended, min(status) AS status, count(*) AS writes FROM v GROUP BY xid", _VERSIONS)
+def transactions(spark, d):
+    """The transaction table: begin and end in the log, status and writes."""
+    ended = F.when(F.min("status") != "active", F.max("lsn"))
+    return _versions(spark, d).groupBy("xid").agg(F.min("lsn").alias("began"), ended.alias("ended"), F.min("status").alias("status"), _n().alias("writes"))
+
+
+@query("SELECT 'sequential' AS pattern, range AS ordinal, 11 + range AS key FROM range(500) UNION ALL SELECT 'reverse', range, 510 - range FROM range(500)")
+def bulk_load_keys(spark, d):
+    """Keys of a sequential and of a reverse bulk load of 500 rows from key 11."""
+    of = lambda p: tables.bulk_keys(spark, 500, p, 11).select(F.lit(p).alias("pattern"), "ordinal", F.col("key").cast("long").alias("key"))
+    return of("sequential").unionByName(of("reverse"))
