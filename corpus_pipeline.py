@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnbase.llm import decontam, entropy_mix, quality_rules, secret_scan, simhash_bk
+from tarnbase.llm import decontam, entropy_mix, near_copies, quality_rules, secret_scan
 from tarnbase.llm.common import shared_dir
 
 
@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    return simhash_bk.keep_one(docs)
+    """One document of each group of near-duplicates (five words, similarity 0.8), the one with the smallest doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

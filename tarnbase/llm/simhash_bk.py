@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
+from .near_copies import keep_one  # noqa: F401  (the pipeline's own measure: five words, similarity 0.8)
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -193,10 +194,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_
 
 def as_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id. Rows without doc_id all stay."""
-    found = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))

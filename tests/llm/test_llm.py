@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnbase.llm import components, decontam, entropy_mix, fm_quality, licences, pii_feistel, quality_rules, queries, recompress, secret_scan, simhash_bk, warc
+from tarnbase.llm import components, decontam, entropy_mix, fm_quality, licences, near_copies, pii_feistel, quality_rules, queries, recompress, secret_scan, simhash_bk, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # Extra columns with names that operators use themselves.
@@ -251,6 +251,41 @@ def test_components_of_a_long_chain(spark):
     assert {r.root for r in components.components(df).collect()} == {0}
 
 
+def plain_survivors(rows, similarity=0.8):
+    """Rows (doc_id, text) that stay if pairs of this set similarity of 5-word shingles are linked."""
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    sets = [set(shingles(found((t or "").lower()))) for _, t in rows]
+    roots = linked(sets, lambda a, b: (not a and not b) or len(a & b) >= similarity * len(a | b) - 1e-9 > -1e-9)
+    return {rows[i] for i, r in enumerate(roots) if i == r}
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(8)
+    rows, boilerplate = [], "this line is in every document of the table".split()
+    for i in range(12):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(50, 120))] + boilerplate
+        rows.append((10 * i, " ".join(words)))
+        for k in range(1, 8):
+            edited = list(words)
+            for _ in range(k):
+                edited[rng.randrange(len(edited))] = f"e{rng.randrange(10**6)}"
+            rows.append((10 * i + k, " ".join(edited).upper() if k == 3 else " ".join(edited)))
+    rows += [(200, "one"), (201, "One"), (202, ""), (203, None), (204, " ".join(boilerplate))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = plain_survivors(rows)
+    assert {tuple(r) for r in near_copies.keep_one(d).collect()} == want
+    # Some copies are within the similarity, but not within op5's 4 bits.
+    assert {i for i, _ in want} < {i for i, _, c in plain_components(rows) if i == c}
+
+
+def test_near_duplicate_stage_uses_the_similarity(spark, docs):
+    sf = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 300")
+    got = corpus_pipeline.near_duplicate_stage(spark, d, sf)
+    assert got.columns == d.columns
+    assert {(r.doc_id, r.text) for r in got.collect()} == plain_survivors([(r.doc_id, r.text) for r in d.collect()])
+
+
 # -- 6 -----------------------------------------------------------------------------------------------------
 
 
