@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two first-order character models are estimated from labelled samples; a token whose log-likelihood ratio per character is above
-`THRESHOLD` is a span of kind `random`, unless it touches a pattern's span. Texts pass through Arrow batches, one at a time.
+`THRESHOLD` is a span of kind `random`, unless it touches a pattern's span. Of other tokens each piece between `=` is judged in the same way, and then by its
+best stretch: a stretch whose ratios sum to `STRETCH` or more is a span, widened to the next `/`, so names and paths in front of a secret don't hide it. Texts pass through Arrow batches, one at a time.
 
 Defined cases: a null text has no spans; spans are code points, end exclusive; very long texts are scanned whole; equal rows give equal rows; an
 empty table gives an empty table; other columns may have any name.
@@ -31,6 +32,9 @@ _NAMES = ("passw", "secret", "token", "api")
 #: Tokens that the models judge: long runs with a digit and a letter.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 THRESHOLD = 0.25
+#: Least sum of log ratios of a random stretch inside a token, and its least length.
+STRETCH, STRETCH_LEAST = 10.0, 12
+PIECE = re.compile(r"[^=]+")
 _CLASS = str.maketrans({c: "x" for c in "+/=-_"})
 # Words that identifiers are made of.
 IDENTIFIER_WORDS = (
@@ -106,6 +110,40 @@ class Markov:
             total += self.unseen.get(g[0], self.other) if x is None else x
         return total / len(s)
 
+    def stretch(self, s: str) -> tuple[float, int, int]:
+        """(sum, start, end) of the stretch of `s` whose log ratios sum to most."""
+        t = "^" + s.translate(_CLASS)
+        best, total, start = (0.0, 0, 0), 0.0, 0
+        for i in range(1, len(t)):
+            if total <= 0:
+                total, start = 0.0, i - 1
+            x = self.ratio.get(t[i - 1 : i + 1])
+            total += self.unseen.get(t[i - 1], self.other) if x is None else x
+            if total > best[0]:
+                best = (total, start, i)
+        return best
+
+
+def random_parts(s: str, model: Markov, threshold: float) -> list[tuple[int, int]]:
+    """(start, end) of the random parts of a token that isn't random as a whole."""
+    found, todo = [], [(m.start(), m.end(), True) for m in PIECE.finditer(s)]
+    while todo:
+        a, b, whole = todo.pop()
+        if b - a < STRETCH_LEAST:
+            continue
+        total, start, end = model.stretch(s[a:b])
+        if total < STRETCH or end - start < STRETCH_LEAST:
+            continue
+        if whole and model.score(s[a:b]) > threshold:
+            found.append((a, b))
+            continue
+        left, right = max(a, s.rfind("/", a, a + start) + 1), s.find("/", a + end, b)
+        right = b if right < 0 else right
+        found.append((left, right))
+        todo += [(a, left, False), (right, b, False)]
+    # Padding belongs to what it ends.
+    return sorted((a, len(s) if not s[b:].strip("=") else b) for a, b in found)
+
 
 def scan(text: str | None, model: Markov | None = None, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, by start and then kind. Without a model: the base spans."""
@@ -128,6 +166,8 @@ def scan(text: str | None, model: Markov | None = None, threshold: float = THRES
                 continue
             if model.score(s) > threshold:
                 found.append(("random", m.start(), m.end()))
+            else:
+                found += [("random", m.start() + a, m.start() + b) for a, b in random_parts(s, model, threshold)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -347,6 +347,20 @@ def test_markov_on_held_out_samples(spark):
     assert r[1].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_behind_names_and_paths():
+    model, rng = secret_scan.Markov.train(secret_scan.samples()), random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "aws_secret_access_key=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert secret_scan.masked(key, secret_scan.scan(key, model)) == "aws_secret_access_key=[SECRET]"
+    for front in ("client_secret_value_for_production=", "customer_payment_gateway_token_production=", "/api/v1/users/customer/payments/session/"):
+        for n in (20, 32):
+            texts = [front + "".join(rng.choices(letters, k=n)) for _ in range(300)]
+            assert sum(secret_scan.masked(t, secret_scan.scan(t, model)) == front + "[SECRET]" for t in texts) >= 290
+    names = [s for s, y in secret_scan.samples(3000, seed=98) if not y]
+    tokens = ["/".join(names[i : i + 3]) + "=" + names[i] for i in range(0, 2997, 3)] + ["-" * 60 + "1a", "a1" + "=" * 80, "x" * 50 + "1"]
+    assert sum(bool(secret_scan.scan(t, model)) for t in tokens) <= 5
+
+
 # -- 8 -----------------------------------------------------------------------------------------------------
 
 
