@@ -65,6 +65,29 @@ KNOWN = {
     "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. "
     "For more information, please refer to <https://unlicense.org>",
 }
+# Titles that the texts are published under; compared in canonical form.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "The 2-Clause BSD License", "Simplified BSD License", "FreeBSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: List markers of the known texts, and what stands in their place: bullets and dashes are no text, letters are.
+MARKER = r"\b([123])\. (?=Redistributions|Neither|The origin|Altered|This notice)"
+MARKERS = (r"\1. ", "* ", lambda m: "abc"[int(m[1]) - 1] + ". ")
+#: Digests of whole texts as published: entire, and without what follows the terms (Apache-2.0: also with its copyright line filled in).
+DIGESTS = {
+    "Apache-2.0": ("1503ed7ce6c2188ed269646562607a76b5c74bff588f36b20862ee3af525f3ea", "f9138026e58bdb767e6c6e974637ff9aacbaedf2695e30fef144e5d7d84448ff", "6fb8411669deea22294b6190fad00b8e39899d0b7b6c5cf97a3b15b47e129c38", "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6",),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "GPL-2.0": ("0248b317bc123a7424b6ff9799b9786ffde75241881994270612a604d03836cc", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34", "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808",),
+    "GPL-3.0": ("335e2e9a39badb7f3faa5b6e393ff8b393f868383be9ddbf866c5821b34f4810", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636", "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191",),
+    "LGPL-2.1": ("4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df",),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-2.0": ("f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",),
+}
 # One-line notices.
 NOTICES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\");", "This work is licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
@@ -93,10 +116,12 @@ def canonical_python(text: str | None) -> str:
     return re.sub(r"[\W_]+", " ", out).strip(" ")
 
 
-def digest_rows(known: dict[str, str] = KNOWN, notices: dict[str, tuple[str, ...]] = NOTICES) -> list[tuple[str, str, bool]]:
+def digest_rows(known: dict[str, str] = KNOWN, notices: dict[str, tuple[str, ...]] = NOTICES, digests: dict[str, tuple[str, ...]] = DIGESTS) -> list[tuple[str, str, bool]]:
     """(digest, licence, whether of a whole text)."""
     sha = lambda t: hashlib.sha256(canonical_python(t).encode()).hexdigest()
-    return [(sha(t), k, True) for k, t in known.items()] + sorted({(sha(t), k, False) for k, ts in notices.items() for t in ts})
+    whole = {(sha(f"{title}\n\n{re.sub(MARKER, mark, t)}"), k, True) for k, t in known.items() for title in ("", *TITLES.get(k, ())) for mark in MARKERS}
+    whole |= {(d, k, True) for k, ds in digests.items() for d in ds}
+    return sorted(whole) + sorted({(sha(t), k, False) for k, ts in notices.items() for t in ts})
 
 
 def known_digests(spark: SparkSession, rows: list[tuple[str, str, bool]] | None = None) -> DataFrame:

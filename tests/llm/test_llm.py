@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -187,6 +188,28 @@ def test_licences(spark):
     assert len({d for d, _, _ in licences.digest_rows()}) == len(licences.digest_rows())
 
 
+def test_licences_as_published(spark):
+    """With their titles and copyright lines, and with other list markers."""
+    known, line = licences.KNOWN, "Copyright (c) 2021, Someone\nAll rights reserved.\n\n"
+    bullets = lambda t, marks: re.sub(r"\b([123])\. (?=[RN])", lambda m: f"\n\n{marks[int(m[1]) - 1]} ", t)
+    want = {"MIT License\n\n" + line + known["MIT"]: "MIT", "The MIT License (MIT)\n\n" + line + known["MIT"]: "MIT", "ISC License\n\n" + line + known["ISC"]: "ISC",
+            "BSD 3-Clause License\n\n" + line + bullets(known["BSD-3-Clause"], "***"): "BSD-3-Clause", line + bullets(known["BSD-2-Clause"], "---"): "BSD-2-Clause", "BSD 2-Clause License\n" + line + bullets(known["BSD-2-Clause"], ("(a)", "(b)")): "BSD-2-Clause",
+            "zlib License\n\n(C) 2020 Someone\n\n" + known["Zlib"]: "Zlib", "My Licence\n\n" + known["MIT"]: None}
+    got = licences.scan_licences(spark.createDataFrame(list(enumerate(want)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r.license_id for r in got] == list(want.values())
+
+
+def test_whole_licence_files(spark):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all((folder / f).exists() for f in files):
+        pytest.skip("no licence files here")
+    rows = [(f, (folder / f).read_text(encoding="utf-8")) for f in files]
+    rows.append(("Apache-2.0", rows[0][1].replace("[yyyy] [name of copyright owner]", "2020 Someone")))
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r.license_id == files[r.doc_id] for r in got)
+
+
 # -- 5 -----------------------------------------------------------------------------------------------------
 
 
