@@ -18,10 +18,14 @@ KEY = "tarnbase-demo-key"
 ROUNDS = 8
 # Patterns of the kinds, tried in this order at each place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}"
-PHONE = r"(?<![0-9])\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])"
+_PHONE_GIVEN = r"(?<![0-9])\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])"
+# E.164 with optional separators, 8 to 15 digits in all; national numbers of ten digits with separators.
+_PHONE_WORLD = r"(?<![0-9+])\+(?=[1-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])(?![ .()-]{1,2}[0-9]))[1-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,14}))+(?![0-9])"
+_PHONE_NATIONAL = r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])"
+PHONE = "|".join((_PHONE_GIVEN, _PHONE_WORLD, _PHONE_NATIONAL))
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/.])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])"
+CARD = r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])|(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 PATTERN = "|".join((EMAIL, PHONE, DATE, SOCIAL, CARD, ADDRESS))
 KINDS = ("email", "phone", "date", "social", "card", "address")
@@ -112,6 +116,7 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
         .when(m.startswith("+"), "phone")
+        .when(m.rlike(r"^(\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$"), "phone")
         .when(m.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})$"), F.when(real & (day <= last), "date"))
         .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(~m.rlike("^(000|666|9)|-00-|-0000$"), "social"))
         .when(m.contains("."), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), "address"))
@@ -124,7 +129,8 @@ def pseudonym(m: Column, kind: Column, key: str = KEY, inverse: bool = False) ->
     t = lambda v, k: permute_text(v, k, key, inverse)
     local = F.substring_index(m, "@", 1)
     domain = F.substr(m, F.length(local) + 1)
-    country = F.substring_index(m, " ", 1)
+    # The country code stays; without a separator behind it only its first digit is known.
+    country = F.regexp_extract(m, r"^\+(?:[0-9]{1,3}(?=[ .(-])|[0-9])", 0)
     body = t(F.substr(m, F.lit(1), F.length(m) - 1), "card")
     # The domain is the set of Luhn-valid numbers: the check digit follows from the others.
     check = (10 - luhn_sum(F.regexp_replace(body, "[^0-9]", ""), 1) % 10) % 10

@@ -340,6 +340,19 @@ def test_number_permutation_is_one(spark):
     assert df.distinct().count() == 189 * 773
 
 
+def test_other_phones_and_cards(spark):
+    values = ["555-123-4567", "(555) 123-4567", "555.123.4567", "+1-555-123-4567", "+44 20 7946 0958", "+4930123456", "+1 (017) 555-7713", "3782 822463 10005"]
+    same = ["1.2.3", "+1 23", "123-456-78901", "3782 822463 10006"]
+    d = spark.createDataFrame([(1, "; ".join([*values, *same])), (2, "call +1 4845168114407329")], "doc_id int, text string")
+    out = {r.doc_id: r for r in pii_feistel.pseudonymise(d).collect()}
+    parts = out[1].text.split("; ")
+    assert parts[len(values) :] == same and (out[1].n_phone, out[1].n_card, out[2].n_card) == (7, 1, 1)
+    assert all(a != b and re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) for a, b in zip(values, parts)) and luhn(parts[7])
+    assert parts[3].startswith("+1-") and parts[4].startswith("+44 ") and parts[6].startswith("+1 ")
+    pairs = spark.createDataFrame(list(zip(values, parts)), "v string, p string").withColumn("k", pii_feistel.kind_of(F.col("p")))
+    assert all(r.v == r.b for r in pairs.select("v", pii_feistel.pseudonym(F.col("p"), F.col("k"), inverse=True).alias("b")).collect())
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------
 
 
