@@ -309,6 +309,13 @@ def test_near_duplicate_stage_uses_the_similarity(spark, docs):
     assert {(r.doc_id, r.text) for r in got.collect()} == plain_survivors([(r.doc_id, r.text) for r in d.collect()])
 
 
+def test_rows_with_repeated_or_null_ids(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, x), (1, y), (2, y), (None, z), (None, z), (None, x)]
+    got = simhash_bk.keep_one(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, x), (1, y), (None, z)], key=repr)
+
+
 # -- 6 -----------------------------------------------------------------------------------------------------
 
 
