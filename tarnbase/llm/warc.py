@@ -1,15 +1,19 @@
 """WARC archives: writing with revisit records and segments, reading with segment reassembly.
 
-Writing goes through Spark's own text writer: a WARC record ends in CRLF CRLF, which is the writer's line separator, so archives land
-on any store that Spark writes, by committed task attempts (a lost executor leaves no half archive), gzip-compressed. Payloads are
-sent as HTTP responses in chunked transfer framing; a block above `SEGMENT_BYTES` is cut into a first record and continuation records.
+Writing goes through Spark's own text writer, so archives land on any store that Spark writes, by committed task attempts (a lost executor leaves no half
+archive). Each record is a gzip member of its own; the writer's line separator is the empty gzip member, which adds nothing to the stream. A file begins
+with a warcinfo record. Payloads are sent as HTTP responses in chunked transfer framing; a block above `SEGMENT_BYTES` is cut into a first record and continuation records.
 
-Reading takes whole files from Spark's binary source (`FILE_RECORDS` bounds a file), parses records by Content-Length, groups continuation records
-by origin identifier, orders them by segment number, verifies that numbers are complete and the total length is right, decodes
+A revisit names the record id of its response. So that only thin rows (digest, page_id, hash of url) are exchanged to find it, that id follows from them;
+rows that are equal in all of page_id, url and payload are numbered.
+
+Reading takes whole files from Spark's binary source (`FILE_RECORDS` bounds a file), parses records by Content-Length in one pass, brings continuation records together
+by origin identifier in order of segment number, verifies that numbers are complete and the total length is right, decodes
 the chunked framing and verifies each payload digest.
 
 Defined cases: a null html is an empty payload; equal payloads of at least `REVISIT_LEAST` bytes have one response, the row with the largest page_id (a null
-page_id is the smallest; rows that share that page_id are all responses); an empty table gives an empty table; url may be null.
+page_id is the smallest; rows that share that page_id are all responses); an empty table gives an empty table; url may be null, control characters in it are left out;
+other columns may have any name (they are not read).
 """
 
 from __future__ import annotations
@@ -20,18 +24,21 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import bounded, cut, shared_dir
 
 REVISIT_LEAST = 0
 SEGMENT_BYTES = 65_536
 CHUNK_BYTES = 8_192
 FILE_RECORDS = 2_000
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
+#: A gzip member without content, as the text of its bytes.
+_EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -65,13 +72,16 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode("utf-8", "surrogatepass") + b"\r\n" + block
 
 
-def page_records(page: object, url: str | None, payload: bytes, of: object, is_revisit: bool, unique: str, segment: int = SEGMENT_BYTES) -> list[bytes]:
-    """The records of one page: a revisit, a response, or a first segment and its continuations."""
+def record_id(page: object, *rest: object) -> str:
+    return f"<urn:tarnbase:page:{'' if page is None else quote(str(page), safe='')}:{':'.join(map(str, rest))}>"
+
+
+def page_records(page: object, url: str | None, payload: bytes, name: str, refers_to: str | None = None, segment: int = SEGMENT_BYTES) -> list[bytes]:
+    """The records of one page: a revisit (if it refers to another), a response, or a first segment and its continuations."""
     clean = "".join(c for c in url or "" if c >= " ")
-    name = f"<urn:tarnbase:page:{'' if page is None else page}:{unique}>"
     common = [("WARC-Target-URI", clean), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), ("WARC-Payload-Length", str(len(payload)))]
-    if is_revisit:
-        extra = [("WARC-Profile", _REVISIT), ("WARC-Refers-To", f"<urn:tarnbase:page:{'' if of is None else of}>"), ("Content-Type", "application/http; msgtype=response")]
+    if refers_to:
+        extra = [("WARC-Profile", _REVISIT), ("WARC-Refers-To", refers_to), ("Content-Type", "application/http; msgtype=response")]
         return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, *extra], _HEAD)]
     block = _HEAD + chunked(payload)
     first = [("WARC-Type", "response"), ("WARC-Record-ID", name), *common, ("Content-Type", "application/http; msgtype=response")]
@@ -85,6 +95,11 @@ def page_records(page: object, url: str | None, payload: bytes, of: object, is_r
     return out
 
 
+def warcinfo() -> bytes:
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")]
+    return record(fields, b"software: tarnbase\r\nformat: WARC File Format 1.1\r\n")
+
+
 def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(lower-case header fields, block) of each record of an archive, compressed or not."""
     if data[:2] == b"\x1f\x8b":
@@ -114,34 +129,56 @@ def payload_of(fields: dict[str, str], block: bytes) -> bytes:
     return payload
 
 
+def _hash(url: str) -> Column:
+    return F.lower(F.hex(F.xxhash64(F.col(url).isNull(), F.col(url))))
+
+
 def write_archives(pages: DataFrame, path: str, revisit_least: int = REVISIT_LEAST, segment: int = SEGMENT_BYTES) -> str:
     """Writes a record for each row of (page_id, url, html) under `path`."""
-    # Equality of payloads: SHA-256 and length. Thin rows are pre-aggregated; only then do whole pages meet their response's id.
-    p = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("sha", F.sha2(F.col("html").cast("binary"), 256))
-    last = p.groupBy("sha").agg(F.max("page_id").alias("of"))
-    met = p.join(last, "sha").select("page_id", "url", F.col("html").cast("binary").alias("html"), "of")
-    met = met.withColumn("is_revisit", ~F.col("page_id").eqNullSafe(F.col("of")) & (F.octet_length("html") >= revisit_least))
+    # Equality of payloads: SHA-256. Only payloads that occur again are joined, as thin rows where they are few enough to be sent to all.
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    p = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("sha"))
+    order = F.struct("page_id", "place")
+    again = p.select("page_id", "sha", _hash("url").alias("place")).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max_by(order, order).alias("top"))
+    again = cut(again.where("n > 1").select("sha", F.col("top.page_id").alias("of"), F.col("top.place").alias("place"), F.lit(True).alias("again")))
+    met = p.join(bounded(again, again.count()), "sha", "left")
+    last = F.col("again").isNull() | F.col("page_id").eqNullSafe(F.col("of"))
+    small = F.octet_length("html") < revisit_least
+    repeated = F.col("again") & last & ~small
+    # Rows of one page_id that share a payload which others may refer to: equal ones become one row with their number.
+    one = met.where(~F.coalesce(repeated, F.lit(False))).select("page_id", "url", "html", "sha", "of", "place", (last | small).alias("whole"), F.lit(1).cast("long").alias("n"))
+    several = met.where(repeated).groupBy("page_id", "url", "sha", "of", "place").agg(F.any_value("html").alias("html"), F.count(F.lit(1)).alias("n"))
+    rows = one.unionByName(several.withColumn("whole", F.lit(True))).select("page_id", "url", F.col("html").cast("binary").alias("html"), F.substring("sha", 1, 32).alias("sha"), "of", "place", "whole", "n", _hash("url").alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
         for b in batches:
-            out = []
-            for page, url, html, of, again in zip(*(c.to_pylist() for c in b.columns)):
-                out += page_records(page, url, html, of, again, uuid.uuid4().hex, segment)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-
-    text = met.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).mode("overwrite").text(path)
+            for page, url, html, sha, of, place, whole, n, own in zip(*(c.to_pylist() for c in b.columns)):
+                out = []
+                for k in range(1, n + 1):
+                    # Only a response that can be referred to has to have an id that others know.
+                    name = record_id(page, sha, own, k) if whole and (len(html) >= revisit_least) else record_id(page, sha, own, uuid.uuid4().hex)
+                    for x in page_records(page, url, html, name, None if whole else record_id(of, sha, place, 1), segment):
+                        # The writer begins a file at every FILE_RECORDS records of a task.
+                        if written % FILE_RECORDS == 0:
+                            out.append(warcinfo())
+                            written += 1
+                        out.append(x)
+                        written += 1
+                yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x + b"\r\n\r\n", 6, mtime=0) for x in out], pa.binary())], names=["record"])
+
+    text = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    # Bytes pass through the writer as they are; the encoding is that of the separator.
+    text.write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER).option("maxRecordsPerFile", FILE_RECORDS).mode("overwrite").text(path)
     return path
 
 
 def read_archives(spark: SparkSession, path: str, page_type: str = "bigint") -> DataFrame:
-    """(page_id, payload, payload_digest, record_type, refers_to) of each page; a revisit's payload is null, its length and digest are those it states."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each page; of a revisit they are those it states."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    whole = "page string, bytes bigint, digest string, kind string, refers string"
 
     def page_of(name: str) -> str | None:
-        return name.strip("<>").split(":")[3] or None
+        return unquote(name.strip("<>").split(":")[3]) or None
 
     def row(fields: dict[str, str], block: bytes) -> tuple:
         if fields["warc-type"] == "revisit":
@@ -149,36 +186,54 @@ def read_archives(spark: SparkSession, path: str, page_type: str = "bigint") ->
         payload = payload_of(fields, block)
         return page_of(fields["warc-record-id"]), len(payload), base32_sha1(payload), "response", None
 
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [[]] * 5
-        types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page", "bytes", "digest", "kind", "refers"])
+    names, types = ("page", "bytes", "digest", "kind", "refers"), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+    part_names, part_types = ("origin", "number", "total", "block"), (pa.string(), pa.int32(), pa.int64(), pa.binary())
 
-    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0):
-                yield table([row(f, x) for f, x in records_of(data.as_py()) if "warc-segment-number" not in f])
+    def batch(rows: list[tuple], names: tuple, types: tuple) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                got = [(f.get("warc-segment-origin-id") or f["warc-record-id"], int(f["warc-segment-number"]), int(f.get("warc-segment-total-length", -1)), f.get("warc-payload-digest"), zlib.compress(x, 1)) for f, x in records_of(data.as_py()) if "warc-segment-number" in f]
-                columns = list(zip(*got)) or [[]] * 5
-                types = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["origin", "number", "total", "digest", "block"])
-
-    def reassembled(group: pa.Table) -> pa.Table:
-        segments = sorted(zip(*(group.column(c).to_pylist() for c in ("number", "total", "digest", "block", "origin"))))
-        origin, total = segments[0][4], segments[-1][1]
-        block = b"".join(zlib.decompress(s[3]) for s in segments)
-        if [s[0] for s in segments] != list(range(1, len(segments) + 1)) or len(block) != total:
+                out = []
+                for f, x in records_of(data.as_py()):
+                    if f["warc-type"] not in ("response", "revisit", "continuation"):
+                        continue
+                    if "warc-segment-number" in f:
+                        origin = f.get("warc-segment-origin-id") or f["warc-record-id"]
+                        out.append((None, None, f.get("warc-payload-digest"), None, None, origin, int(f["warc-segment-number"]), int(f.get("warc-segment-total-length", -1)), zlib.compress(x, 1)))
+                    else:
+                        out.append((*row(f, x), f["warc-record-id"], 0, -1, None))
+                yield batch(out, names + part_names, types + part_types)
+
+    def reassembled(segments: list[tuple]) -> tuple:
+        digest, origin, total = segments[0][0], segments[0][1], segments[-1][3]
+        block = b"".join(zlib.decompress(s[4]) for s in segments)
+        if [s[2] for s in segments] != list(range(1, len(segments) + 1)) or len(block) != total:
             raise ValueError(f"segments of {origin} are missing or their total length isn't {total}")
-        fields = {"warc-type": "response", "warc-record-id": origin, "warc-payload-digest": segments[0][2] or ""}
-        return pa.Table.from_batches([table([row(fields, block)])])
+        return row({"warc-type": "response", "warc-record-id": origin, "warc-payload-digest": digest or ""}, block)
 
-    out = files.mapInArrow(complete, whole)
-    cut_up = files.mapInArrow(parts, "origin string, number int, total bigint, digest string, block binary")
-    out = out.unionByName(cut_up.groupBy("origin").applyInArrow(reassembled, whole))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            out = []
+            for page, size, digest, kind, refers, origin, number, total, block in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][1] != origin:
+                    out.append(reassembled(held))
+                    held = []
+                if kind is None:
+                    held.append((digest, origin, number, total, block))
+                else:
+                    out.append((page, size, digest, kind, refers))
+            yield batch(out, names, types)
+        if held:
+            yield batch([reassembled(held)], names, types)
+
+    schema = "page string, bytes bigint, digest string, kind string, refers string"
+    found = files.mapInArrow(parsed, f"{schema}, origin string, number int, total bigint, block binary")
+    # Whole records pass as thin rows; segments of one origin come next to each other, in order.
+    out = found.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(whole, schema)
     return out.select(
         F.col("page").cast(page_type).alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("kind").alias("record_type"), F.col("refers").cast(page_type).alias("refers_to"),
