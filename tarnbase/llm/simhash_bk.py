@@ -2,9 +2,9 @@
 
 1. Fingerprints: Arrow batches; the 64 bit counts of a text come from byte histograms of its shingle hashes.
 2. Equal fingerprints are merged first, so copies cost one row.
-3. Shards: fingerprints within r differing bits agree on at least one of r + 1 disjoint blocks of bits. A shard is the set of
-   fingerprints with one value of one block. Shards above `SHARD_ROWS` are dealt again by blocks of their remaining bits (the same
-   argument holds inside a shard), up to three times, so shards stay small however many fingerprints there are.
+3. Shards: fingerprints within r differing bits agree on at least k of k + r disjoint blocks of bits. A shard is the set of
+   fingerprints with the same bits in one choice of k blocks; k follows from their number. Shards that are counted above `SHARD_ROWS` all the same are
+   dealt again by blocks of their remaining bits (the same argument holds inside a shard), and those that no bits part in pairs of chunks.
 4. Each shard's BK-tree (children keyed by Hamming distance to the parent) is built and asked in one pass by the task
    that holds the shard; only edges within the radius are followed. A tree sent to all executors would have to meet every
    fingerprint, which is a cross join; a dealt shard meets only those that can match. A shard returns at most one edge per row.
@@ -18,6 +18,7 @@ gives an empty table; other columns may have any name (they are not read).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
-from .near_copies import keep_one  # noqa: F401  (the pipeline's own measure: five words, similarity 0.8)
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -38,26 +38,37 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _ROWS = np.arange(8, dtype=np.int64) * 256
 
 
-def simhash(text: str | None, width: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
-    """64-bit fingerprint of the whole text, unsigned."""
+def shingle_hashes(text: str | None, width: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> np.ndarray:
+    """Unsigned hashes of all shingles of the whole text, repeats included; a text below `width` words is one shingle, one without words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, "<u8")
     joined, ends, at = b" ".join(words), [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
+    digest = xxhash.xxh64_intdigest
     if n <= width:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], "<u8")
     starts = [0, *(e + 1 for e in ends)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :])], dtype="<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :])], dtype="<u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64 bits, unsigned: a bit is 1 if it is set in over half of the hashes."""
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
     spread = hashes.view(np.uint8).reshape(-1, 8).astype(np.int64) + _ROWS
     counts = np.bincount(spread.ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int.from_bytes(np.packbits(2 * counts.ravel() > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def simhash(text: str | None, width: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
+    """64-bit fingerprint of the whole text, unsigned."""
+    return fingerprint_of(shingle_hashes(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
     kind = docs.schema["doc_id"].dataType
@@ -70,46 +81,59 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, fp bigint")
 
 
-def _split_masks(taken: int, parts: int) -> list[int]:
-    """The bits outside `taken` in `parts` disjoint masks, as signed longs."""
-    free = [b for b in range(64) if not taken >> b & 1]
-    cuts = [len(free) * i // parts for i in range(parts + 1)]
-    return [sum(1 << b for b in free[cuts[i] : cuts[i + 1]]) for i in range(parts)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shards(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD_ROWS, levels: int = 3) -> DataFrame:
-    """(shard, fp): each two fingerprints within `radius` bits share a shard; `distinct` has each fp once."""
-    parts = radius + 1
-    masks = [_split_masks(0, parts)]
-    for _ in range(levels - 1):
-        masks.append([m for i in range(len(masks[-1])) for m in _split_masks(_held(masks, len(masks) - 1, i, parts), parts)])
-    table = lambda level: F.array(*[F.lit(_signed(m)) for m in masks[level]])
-    out = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("path"))
-    out = out.select("fp", "path", F.xxhash64("path", F.col("fp").bitwiseAND(F.get(table(0), F.col("path")))).alias("shard"))
-    for level in range(1, levels):
-        hot = out.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("shard", F.lit(True).alias("hot"))
-        dealt = out.join(hot, "shard", "left")
-        paths = F.when(F.col("hot"), F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda j: F.col("path") * parts + j)).otherwise(F.array(F.lit(-1)))
-        dealt = dealt.select("fp", "path", "shard", F.explode(paths).alias("next"))
-        again = F.col("next") >= 0
-        key = F.xxhash64("shard", "next", F.col("fp").bitwiseAND(F.get(table(level), F.col("next"))))
-        # A shard that was small stays small: only dealt rows get a key again.
-        out = dealt.select("fp", F.when(again, F.col("next")).otherwise(F.col("path") * parts).alias("path"), F.when(again, key).otherwise(F.col("shard")).alias("shard"))
-    return out.select("shard", "fp")
-
-
-def _held(masks: list[list[int]], level: int, index: int, parts: int) -> int:
-    """Bits that the masks on the way to this one fix together."""
-    held = 0
-    while level >= 0:
-        held |= masks[level][index]
-        index //= parts
-        level -= 1
-    return held
+def _masks(free: list[int], chosen: int, radius: int) -> list[int]:
+    """Bit masks of `chosen` of `chosen + radius` disjoint blocks of the free bits, one for each choice, as signed longs."""
+    n = chosen + radius
+    cuts = [len(free) * i // n for i in range(n + 1)]
+    block = [sum(1 << b for b in free[cuts[i] : cuts[i + 1]]) for i in range(n)]
+    return [sum(block[i] for i in c) for c in combinations(range(n), chosen)]
+
+
+def depth_for(n: int, radius: int, most: int) -> int:
+    """Blocks that a shard fixes, so that n evenly spread fingerprints make shards below `most / 4`: the fewest, as each more costs copies."""
+    chosen = 1
+    while chosen < 4 and n > (most / 4) * 2 ** (64 * chosen // (chosen + radius)):
+        chosen += 1
+    return chosen
+
+
+def shards(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD_ROWS) -> DataFrame:
+    """(shard, fp): each two fingerprints within `radius` bits share a shard; `distinct` has each fp once.
+
+    Fingerprints that differ in at most `radius` bits agree on `k` of `k + radius` blocks; a shard is one choice of blocks and their bits.
+    `k` follows from the count (1: 5 copies of a fingerprint, 2: 15). Shards above `most`, counted, are dealt once more by the bits that they leave free. What
+    is still above it is a cluster that bits don't part: its rows are dealt to g chunks, and a shard is two chunks, so each two rows still meet.
+    """
+    spark = distinct.sparkSession
+    first = _masks(list(range(64)), depth_for(distinct.count(), radius, most), radius)
+    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("path"), F.lit(m).alias("mask")) for i, m in enumerate(map(_signed, first))])).alias("p")
+    out = distinct.select("fp", parts).select("fp", F.col("p.mask").alias("mask"), F.xxhash64("p.path", F.col("fp").bitwiseAND(F.col("p.mask"))).alias("shard"))
+    count = F.count(F.lit(1)).alias("n")
+    counted = cut(out.groupBy("shard").agg(count).where(F.col("n") > most).select("shard", "n"))
+    if counted.isEmpty():
+        return out.select("shard", "fp")
+
+    def marked(rows: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+        met = cut(rows.join(hot, "shard", "left"))
+        return met.where("n IS NULL").select("shard", "fp"), met.where("n IS NOT NULL")
+
+    small, hot = marked(out, counted)
+    table = [(_signed(m), i, _signed(x)) for m in first for i, x in enumerate(_masks([b for b in range(64) if not m >> b & 1], 1, radius))]
+    again = spark.createDataFrame(table, "mask bigint, path int, more bigint")
+    dealt = hot.join(F.broadcast(again), "mask").select("fp", F.xxhash64("shard", "path", F.col("fp").bitwiseAND(F.col("more"))).alias("shard"))  # radius + 1 rows for each choice of blocks
+    counted = cut(dealt.groupBy("shard").agg(count).where(F.col("n") > most).select("shard", "n"))
+    if counted.isEmpty():
+        return small.union(dealt.select("shard", "fp"))
+    less, hot = marked(dealt, counted)
+    # Dealt over all tasks first: a row becomes as many as its shard has chunks.
+    chunks = F.ceil(2 * F.col("n") / F.lit(most)).cast("int")
+    paired = hot.select("shard", "fp", F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("d"))
+    paired = paired.select(F.xxhash64("shard", F.least("c", "d"), F.greatest("c", "d")).alias("shard"), "fp")
+    return small.union(less).union(paired)
 
 
 def link_shard(values: list[int], radius: int) -> list[tuple[int, int]]:
