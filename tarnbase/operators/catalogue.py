@@ -22,6 +22,7 @@ CATALOGUE: dict[str, dict[str, int]] = {
     "cow": {"COW_COPY": 300, "META_FLIP": 520, "FREELIST_PUSH": 200, "FREELIST_POP": 90},
     "fractal": {"MSG_INJECT": 130, "MSG_FLUSH": 460, "BUFFER_STATE": 50, "PATH_FLUSH": 320},
 }
+DURATIONS: dict[str, int] = {t: d for types in CATALOGUE.values() for t, d in types.items()}
 # The types on which playback dwells.
 KEY_FRAMES = (
     "PAGE_SPLIT PAGE_MERGE REDISTRIBUTE ROOT_CHANGE BUFFER_EVICT SEARCH_RESULT PLAN_READY LOOKUP_BACK INDEX_CREATE COMMAND_END TXN_COMMIT TXN_ABORT HEAP_PRUNE VACUUM_END MEMTABLE_FREEZE SST_CREATE COMPACTION_END "

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .catalogue import DURATIONS
+
 # Metrics and the event types that they count.
 METRICS = {
     "buffer_hits": ("BUFFER_HIT",), "buffer_misses": ("BUFFER_MISS",), "evictions": ("BUFFER_EVICT",), "flushes": ("PAGE_FLUSH",), "page_allocs": ("PAGE_ALLOC",), "page_frees": ("PAGE_FREE",),
@@ -28,15 +30,27 @@ def state_at(events: DataFrame, seq: int) -> DataFrame:
 
 
 def spans(events: DataFrame) -> DataFrame:
-    """First and last event, duration and number of events of each command."""
-    return events.groupBy("cmd").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.sum("duration").alias("duration"), F.count(F.lit(1)).alias("n_events"))
+    """First and last event, duration and number of events of each command; with `t` and `detail`, when it began and ended, whether it went well and its note."""
+    base = [F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.sum("duration").alias("duration"), F.count(F.lit(1)).alias("n_events")]
+    more = []
+    if {"t", "detail"} <= set(events.columns):
+        end = F.max_by("detail", F.when(F.col("type") == "COMMAND_END", F.col("seq")))
+        more = [F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.coalesce(end == "ok", F.lit(False)).alias("ok"), end.alias("note")]
+    return events.groupBy("cmd").agg(*base, *more)
+
+
+def blocked_before(df: DataFrame, at: Column, value: Column, block: int) -> DataFrame:
+    """(blk, base): for each block of `block` places the sum of `value` over all blocks before, by blocks of blocks, so that no task orders more than one in block^2 places."""
+    sums = df.groupBy(F.floor(at / block).alias("blk")).agg(F.sum(value).alias("d")).withColumn("sup", F.floor(F.col("blk") / block))
+    upto = lambda w: F.coalesce(F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    supers = sums.groupBy("sup").agg(F.sum("d").alias("d")).select("sup", upto(Window.orderBy("sup")).alias("before"))
+    inside = sums.withColumn("own", upto(Window.partitionBy("sup").orderBy("blk")))
+    return inside.join(supers, "sup").select("blk", (F.col("before") + F.col("own")).alias("base"))
 
 
 def clock(events: DataFrame, block: int = 1000) -> DataFrame:
     """Adds `t`, the running sum of durations: sums of blocks of the sequence first, then inside each block, so no task orders the whole log."""
-    blocks = events.groupBy(F.floor(F.col("seq") / block).alias("blk")).agg(F.sum("duration").alias("d"))
-    before = Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("blk", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("base"))
+    blocks = blocked_before(events, F.col("seq"), F.col("duration"), block)
     inside = Window.partitionBy("blk").orderBy("seq")
     return events.withColumn("blk", F.floor(F.col("seq") / block)).join(blocks, "blk").withColumn("t", F.col("base") + F.sum("duration").over(inside)).drop("blk", "base")
 
@@ -48,13 +62,65 @@ def checkpoints(n_events: int, interval: int = 200, most: int = 24) -> list[int]
     return list(range(interval, n_events + 1, interval))
 
 
+def store_checkpoints(events: DataFrame, path: str, interval: int = 200, most: int = 24) -> DataFrame:
+    """Writes, and reads back, a row of all counters at each checkpoint that thinning leaves: (at, counts by type, hits)."""
+    last = events.agg(F.max("seq")).first()[0]
+    places = checkpoints(0 if last is None else last + 1, interval, most)
+    step = places[0] if places else interval
+    per = events.where(F.col("seq") < (places[-1] if places else 0)).groupBy(F.floor(F.col("seq") / step).alias("blk"), "type").agg(F.count(F.lit(1)).alias("n"))
+    # At most `most` blocks a type.
+    upto = Window.partitionBy("type").orderBy("blk")
+    grid = events.sparkSession.createDataFrame([(i, p, t) for i, p in enumerate(places) for t in DURATIONS], "blk bigint, at bigint, type string")
+    full = grid.join(per, ["blk", "type"], "left").select("at", "type", F.sum(F.coalesce("n", F.lit(0))).over(upto).alias("n"))
+    full.write.mode("overwrite").parquet(path)
+    return events.sparkSession.read.parquet(path)
+
+
+def state_from(stored: DataFrame, events: DataFrame, seq: int) -> DataFrame:
+    """Time travel: the metrics of the prefix before `seq`, from the nearest checkpoint and the events after it only."""
+    at = stored.where(F.col("at") <= seq).agg(F.max("at")).first()[0] or 0
+    rest = events.where((F.col("seq") >= at) & (F.col("seq") < seq)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    counted = rest.unionByName(stored.where(F.col("at") == at).select("type", "n"))
+    total = lambda types: F.coalesce(F.sum(F.when(F.col("type").isin(*types), F.col("n"))), F.lit(0)).cast("long")
+    hits, asked = total(("BUFFER_HIT",)), total(("BUFFER_HIT", "BUFFER_MISS"))
+    return counted.agg(*[total(types).alias(name) for name, types in METRICS.items()], (hits / F.nullif(asked, F.lit(0))).alias("hit_rate"))
+
+
+def queue_depth(jobs: DataFrame, per: str) -> DataFrame:
+    """(per, max_depth): jobs that wait at once, from BG_JOB_SCHEDULED and BG_JOB_RUN; a CRASH empties the queue."""
+    order = Window.partitionBy(per).orderBy("seq")
+    epoch = jobs.withColumn("epoch", F.count_if(F.col("type") == "CRASH").over(order))
+    step = F.when(F.col("type") == "BG_JOB_SCHEDULED", 1).when(F.col("type") == "BG_JOB_RUN", -1).otherwise(0)
+    depth = epoch.withColumn("depth", F.sum(step).over(Window.partitionBy(per, "epoch").orderBy("seq")))
+    return depth.groupBy(per).agg(F.max("depth").alias("max_depth"))
+
+
 def next_matching(events: DataFrame, seq: int, type_: str) -> DataFrame:
     return events.where((F.col("seq") > seq) & (F.col("type") == type_)).agg(F.min("seq").alias("next_seq"))
 
 
-def recency(events: DataFrame, pages: str = "page") -> DataFrame:
-    """Least recently used first: each page's last access."""
-    return events.where("type IN ('BUFFER_HIT', 'BUFFER_MISS')").groupBy(pages).agg(F.max("seq").alias("last_seq"))
+def recency(events: DataFrame, pages: str = "page", block: int = 1000) -> DataFrame:
+    """(page, last_seq, place): each page's last access and its place, the most recent first; places by blocks of the sequence, which has a page at most each."""
+    last = events.where("type IN ('BUFFER_HIT', 'BUFFER_MISS')").groupBy(pages).agg(F.max("seq").alias("last_seq"))
+    # The block that comes first holds the latest: the place counts pages with a later access.
+    turned = last.withColumn("back", -F.col("last_seq"))
+    blocks = blocked_before(turned, F.col("back"), F.lit(1), block)
+    inside = F.row_number().over(Window.partitionBy("blk").orderBy("back"))
+    placed = turned.withColumn("blk", F.floor(F.col("back") / block)).join(blocks, "blk").withColumn("place", (F.col("base") + inside).cast("long"))
+    return placed.select(pages, "last_seq", "place")
+
+
+def jump(events: DataFrame, seq: int, markers: list[int]) -> dict[str, int | None]:
+    """Where navigation goes from an event: the next and previous event, command and marker (a user's list)."""
+    near = events.where(F.col("seq").between(seq - 1, seq + 1) | (F.col("seq") == seq))
+    own = near.where(F.col("seq") == seq).select("cmd").first()
+    cmd = own["cmd"] if own else None
+    r = events.agg(
+        F.min(F.when(F.col("seq") > seq, F.col("seq"))).alias("next_event"), F.max(F.when(F.col("seq") < seq, F.col("seq"))).alias("previous_event"),
+        F.min(F.when(F.col("cmd") > cmd, F.col("seq"))).alias("next_command"), F.min(F.when(F.col("cmd") == cmd - 1, F.col("seq"))).alias("previous_command"),
+    ).first() if cmd is not None else None
+    out = r.asDict() if r else {"next_event": None, "previous_event": None, "next_command": None, "previous_command": None}
+    return out | {"next_marker": min((m for m in markers if m > seq), default=None), "previous_marker": max((m for m in markers if m < seq), default=None)}
 
 
 def recent(events: DataFrame, per: str, n: int) -> DataFrame:

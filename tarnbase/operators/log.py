@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .events import blocked_before
+
 
 def newest(log: DataFrame, key: str = "key", order: str = "lsn") -> DataFrame:
     """The newest row of each key. max_by combines on the map side, so a hot key costs one row per task."""
@@ -39,11 +41,11 @@ def compact(log: DataFrame, upto: int, bottom: bool) -> DataFrame:
 
 
 def split_runs(entries: DataFrame, per_file: int) -> DataFrame:
-    """Adds `file`: key ranges of about `per_file` entries, from the counts of key prefixes (no total order of all rows in one task)."""
-    ranges = entries.groupBy(F.floor(F.col("key") / per_file).alias("range")).count()
-    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranges.withColumn("file", F.floor(F.coalesce(F.sum("count").over(upto), F.lit(0)) / per_file)).select("range", "file")
-    return entries.withColumn("range", F.floor(F.col("key") / per_file)).join(placed, "range").drop("range")
+    """Adds `file`: key ranges of about `per_file` entries, from the counts of key ranges, these by blocks (no order of all rows or ranges in one task)."""
+    at = F.floor(F.col("key") / per_file)
+    ranges = blocked_before(entries.withColumn("range", at), F.col("key"), F.lit(1), per_file)
+    placed = ranges.select(F.col("blk").alias("range"), F.floor(F.col("base") / per_file).alias("file"))
+    return entries.withColumn("range", at).join(placed, "range").drop("range")
 
 
 def version_chain(versions: DataFrame, order: str = "lsn") -> DataFrame:

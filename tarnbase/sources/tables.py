@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import random_keys
+from ..operators.catalogue import DURATIONS
 
 # The words of the synthetic rows.
 CITIES = ("Beijing", "Shanghai", "Hangzhou", "Shenzhen", "Chengdu", "Xian")
@@ -65,7 +66,7 @@ def version_log(events: DataFrame) -> DataFrame:
 def event_log(events: DataFrame) -> DataFrame:
     """(seq, cmd, type, rows, duration): storage events derived from user events, five to a command."""
     kind = {"view": "BUFFER_HIT", "click": "BUFFER_MISS", "signup": "RECORD_INSERT", "purchase": "SCAN_STEP", "error": "RECORD_DELETE"}
-    cost = {"view": 40, "click": 120, "signup": 160, "purchase": 60, "error": 160}
+    cost = {user: DURATIONS[event] for user, event in kind.items()}
     pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
     return events.select(
         F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 5).alias("cmd"), F.col("user_id").alias("page"),
