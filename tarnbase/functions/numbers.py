@@ -47,6 +47,23 @@ def random_int(seed: int, ordinal: Column, low: int, high: int) -> Column:
     return F.lit(low) + F.floor(random_unit(seed, ordinal) * (high - low + 1))
 
 
+def random_pick(seed: int, ordinal: Column, words: tuple[str, ...]) -> Column:
+    """One of the words for each draw."""
+    return F.element_at(F.array(*[F.lit(w) for w in words]), (random_int(seed, ordinal, 0, len(words) - 1) + 1).cast("int"))
+
+
+def shuffled(seed: int, items: list) -> list:
+    """A permutation by the generator, from the end; each step depends on the one before, so it is for short lists on the driver."""
+    out, state = list(items), seed & MASK
+    for i in range(len(out) - 1, 0, -1):
+        state = (state + RNG_STEP) & MASK
+        t = ((state ^ state >> 15) * (state | 1)) & MASK
+        t ^= (t + (((t ^ t >> 7) * (t | 61)) & MASK)) & MASK
+        j = ((t ^ t >> 14) & MASK) * (i + 1) >> 32
+        out[i], out[j] = out[j], out[i]
+    return out
+
+
 def mix32(x: Column) -> Column:
     h = mul32(u32(x).bitwiseXOR(F.lit(MIX[0])), MIX[1])
     return xor_shift(mul32(xor_shift(h, 15), MIX[2]), 13)

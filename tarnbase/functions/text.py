@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 # Bytes of a column type, of a record's header and directory entry, of an internal entry and a page header.
 WIDTHS = {"int": 4, "bigint": 8, "timestamp": 8, "bool": 1}
 RECORD_HEADER, SLOT_ENTRY, INTERNAL_ENTRY, PAGE_HEADER, DEFAULT_LENGTH = 5, 2, 13, 102, 32
@@ -19,16 +21,28 @@ def clamp(x: float, low: float, high: float) -> float:
     return min(high, max(low, x))
 
 
+def require(condition: bool, message: str) -> None:
+    """Refuses to go on where an invariant doesn't hold."""
+    if not condition:
+        raise AssertionError(f"invariant violated: {message}")
+
+
 def format_bytes(n: float) -> str:
-    for unit in ("B", "KB", "MB", "GB"):
-        if n < 1024 or unit == "GB":
-            return f"{n:.0f} {unit}" if unit == "B" else f"{n:.1f} {unit}"
-        n /= 1024
-    return ""
+    """Bytes below 1 KB, KB with a decimal below ten, MB with two."""
+    if n < 1024:
+        return f"{n:.0f} B"
+    if n < 1024**2:
+        return f"{n / 1024:.{1 if n < 10240 else 0}f} KB"
+    return f"{n / 1024**2:.2f} MB"
+
+
+def format_percent(x: float, digits: int = 1) -> str:
+    return f"{100 * x:.{digits}f}%" if math.isfinite(x) else "—"
 
 
-def format_percent(x: float) -> str:
-    return f"{100 * x:.1f}%"
+def format_number(x: float) -> str:
+    """Thousands by commas, three decimals at most."""
+    return f"{x:,.3f}".rstrip("0").rstrip(".") if x % 1 else f"{x:,.0f}"
 
 
 # Labels of commands; a name in braces stands for the command's argument.
@@ -50,4 +64,28 @@ def command_label(kind: str, **arguments: object) -> str:
     if kind == "compact":
         level = arguments.get("level")
         return "COMPACT" if level is None else f"COMPACT L{level} → L{level + 1}"
-    return LABELS.get(kind, kind.replace("_", " ").upper()).format(**arguments)
+    if kind == "query":
+        columns, predicate = arguments.get("columns"), arguments.get("predicate")
+        where = predicate.describe() if predicate is not None else ""
+        return f"SELECT {', '.join(columns) if columns else '*'}" + (f" WHERE {where}" if where else "")
+    if kind == "use_session":
+        return f"\\c {arguments.get('session')}"
+    if kind == "run_background":
+        return f"RUN BACKGROUND JOBS ×{arguments['jobs']}" if arguments.get("jobs") else "RUN BACKGROUND JOBS"
+    if kind == "crash":
+        return "CRASH + RECOVER FROM WAL"
+    if kind == "configure":
+        return f"SET {arguments.get('names') or ', '.join(arguments)}"
+    if kind == "create_table":
+        schema = arguments.get("schema")
+        return f"CREATE TABLE {arguments.get('name') or (schema.name if schema else 'users')}"
+    return LABELS.get(kind, kind.replace("_", " ").upper()).format(**{"pattern": "sequential"} | arguments)
+
+
+def describe_event(type_: str, detail: str = "", amount: int | None = None) -> str:
+    """One line for an event of any type: its name in words, and what it carries."""
+    words = type_.lower().replace("_", " ")
+    line = words[:1].upper() + words[1:]
+    for short in ("sst", "wal", "bg", "lsm", "cow"):
+        line = " ".join(w.upper() if w.lower() == short else w for w in line.split(" "))
+    return line + (f": {detail}" if detail else "") + (f" ({format_number(amount)})" if amount else "")
