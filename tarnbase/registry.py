@@ -33,7 +33,7 @@ chain AS (SELECT *, lead(xid) OVER c AS xmax, lead(status) OVER c AS xmax_status
 every AS (SELECT v.*, n.xid AS xmax, n.status AS xmax_status FROM v ASOF LEFT JOIN (SELECT key, lsn, xid, status FROM v WHERE status <> 'aborted') n ON v.key = n.key AND v.lsn < n.lsn)"""
 _EVENTS = """e AS (SELECT event_id AS seq, event_id // 5 AS cmd, user_id AS page,
   CASE event_type WHEN 'view' THEN 'BUFFER_HIT' WHEN 'click' THEN 'BUFFER_MISS' WHEN 'signup' THEN 'RECORD_INSERT' WHEN 'purchase' THEN 'SCAN_STEP' ELSE 'RECORD_DELETE' END AS type,
-  CASE event_type WHEN 'view' THEN 40 WHEN 'click' THEN 120 WHEN 'purchase' THEN 60 ELSE 160 END::BIGINT AS duration FROM events)"""
+  CASE event_type WHEN 'view' THEN 40 WHEN 'click' THEN 90 WHEN 'purchase' THEN 90 ELSE 180 END::BIGINT AS duration FROM events)"""
 _COLUMNS = {"o_orderkey": 8, "o_custkey": 8, "o_orderstatus": 17, "cents": 8}
 _NUMERIC = {"o_orderkey", "o_custkey", "cents"}
 _CHUNKS = """cells AS (
@@ -463,7 +463,7 @@ def next_event(spark, d):
     return events.next_matching(_events(spark, d), 100, "SCAN_STEP")
 
 
-@query("SELECT page, max(seq) AS last_seq FROM e WHERE type IN ('BUFFER_HIT', 'BUFFER_MISS') GROUP BY page", _EVENTS)
+@query("SELECT page, last_seq, row_number() OVER (ORDER BY last_seq DESC) AS place FROM (SELECT page, max(seq) AS last_seq FROM e WHERE type IN ('BUFFER_HIT', 'BUFFER_MISS') GROUP BY page)", _EVENTS)
 def page_recency(spark, d):
     return events.recency(_events(spark, d))
 
@@ -478,13 +478,19 @@ def event_window(spark, d):
     return _events(spark, d).where("seq BETWEEN 420 AND 540").select("seq", "cmd", "type")
 
 
-@query("SELECT page % 8 AS shard, max(depth)::BIGINT AS max_depth FROM (SELECT page, sum(CASE WHEN type = 'RECORD_INSERT' THEN 1 WHEN type = 'RECORD_DELETE' THEN -1 ELSE 0 END) OVER (PARTITION BY page ORDER BY seq) AS depth FROM e) GROUP BY 1", _EVENTS)
-def queue_depth(spark, d):
-    from pyspark.sql import Window
+_JOBS = """j AS (SELECT event_id AS seq, user_id AS tbl, CASE event_type WHEN 'signup' THEN 'BG_JOB_SCHEDULED' WHEN 'click' THEN 'BG_JOB_SCHEDULED' WHEN 'purchase' THEN 'BG_JOB_RUN' WHEN 'error' THEN 'CRASH' ELSE 'NOTE' END AS type FROM events)"""
+
 
-    step = F.when(F.col("type") == "RECORD_INSERT", 1).when(F.col("type") == "RECORD_DELETE", -1).otherwise(0)
-    run = F.sum(step).over(Window.partitionBy("page").orderBy("seq"))
-    return _events(spark, d).withColumn("depth", run).groupBy((F.col("page") % 8).alias("shard")).agg(F.max("depth").alias("max_depth"))
+@query(
+    """SELECT tbl, max(depth)::BIGINT AS max_depth FROM (
+  SELECT tbl, sum(CASE type WHEN 'BG_JOB_SCHEDULED' THEN 1 WHEN 'BG_JOB_RUN' THEN -1 ELSE 0 END) OVER (PARTITION BY tbl, epoch ORDER BY seq) AS depth
+  FROM (SELECT *, count(*) FILTER (type = 'CRASH') OVER (PARTITION BY tbl ORDER BY seq) AS epoch FROM j)) GROUP BY tbl""",
+    _JOBS,
+)
+def queue_depth(spark, d):
+    """Signups and clicks schedule jobs, purchases run them, errors crash the table."""
+    kind = F.when(F.col("event_type").isin("signup", "click"), "BG_JOB_SCHEDULED").when(F.col("event_type") == "purchase", "BG_JOB_RUN").when(F.col("event_type") == "error", "CRASH").otherwise("NOTE")
+    return events.queue_depth(_t(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("tbl"), kind.alias("type")), "tbl")
 
 
 # -- synthetic rows and state machines ------------------------------------------------------------------------
@@ -511,19 +517,58 @@ def rng_stream(spark, d):
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("ordinal"), numbers.random_int(SEED, F.col("c_custkey"), 1, 1000).cast("long").alias("key"))
 
 
-@query()
+_FRAMES = 8
+
+
+@query(
+    f"""SELECT pool, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(*) FILTER (NOT hit) - least({_FRAMES}, count(DISTINCT page)) AS evictions
+FROM (SELECT a.pool, a.seq, a.page, prev IS NOT NULL AND (SELECT count(DISTINCT b.page) FROM e b WHERE b.page % 8 = a.pool AND b.seq > a.prev AND b.seq < a.seq) < {_FRAMES} AS hit
+      FROM (SELECT page % 8 AS pool, seq, page, lag(seq) OVER (PARTITION BY page ORDER BY seq) AS prev FROM e) a) GROUP BY pool""",
+    _EVENTS,
+)
 def buffer_pool_lru(spark, d):
-    return stateful.buffer_pool(_events(spark, d).select((F.col("page") % 8).alias("pool"), "seq", "page"), frames=8)
+    """In SQL: an access hits if fewer pages than frames were touched since the page's last access."""
+    accesses = _events(spark, d).select((F.col("page") % 8).alias("pool"), "seq", "page", F.col("type").isin("RECORD_INSERT", "RECORD_DELETE").alias("writes"))
+    return stateful.buffer_pool(accesses, frames=_FRAMES).select("pool", "hits", "misses", "evictions")
 
 
-@query()
+_STEPS = """n AS (SELECT key % 8 AS tbl, key, op, row_number() OVER (PARTITION BY key % 8 ORDER BY lsn) AS i FROM w)"""
+
+
+@query(
+    f"""SELECT tbl, freezes, flushes, stalls, retained FROM s QUALIFY row_number() OVER (PARTITION BY tbl ORDER BY i DESC) = 1""",
+    "RECURSIVE " + _LOG + ", " + _STEPS + """,
+s AS (SELECT tbl, 0::BIGINT AS i, []::BIGINT[] AS keys, 0::BIGINT AS records, []::BIGINT[] AS waiting, 0::BIGINT AS freezes, 0::BIGINT AS flushes, 0::BIGINT AS stalls, 0::BIGINT AS retained FROM n GROUP BY tbl
+  UNION ALL
+  SELECT tbl, i, keys, records, waiting[1 + least(1, len(waiting)):], freezes, flushes + least(1, len(waiting)), stalls, (records + coalesce(list_sum(waiting[1 + least(1, len(waiting)):]), 0))::BIGINT FROM (
+    SELECT tbl, i, keys, records, waiting[1 + greatest(0, len(waiting) - 2):] AS waiting, freezes, flushes + greatest(0, len(waiting) - 2) AS flushes, stalls + greatest(0, len(waiting) - 2) AS stalls FROM (
+      SELECT tbl, i, CASE WHEN len(k) >= 8 THEN [] ELSE k END AS keys, CASE WHEN len(k) >= 8 THEN 0 ELSE r END AS records, CASE WHEN len(k) >= 8 THEN list_append(waiting, r) ELSE waiting END AS waiting,
+             freezes + (len(k) >= 8)::BIGINT AS freezes, flushes, stalls
+      FROM (SELECT s.tbl, n.i, CASE WHEN list_contains(s.keys, n.key) THEN s.keys ELSE list_append(s.keys, n.key) END AS k, s.records + 1 AS r, s.waiting, s.freezes, s.flushes, s.stalls
+            FROM s JOIN n ON n.tbl = s.tbl AND n.i = s.i + 1)))""" + ")",
+)
 def memtable_stall_fold(spark, d):
-    return stateful.memtable_fold(_writes(spark, d).select((F.col("key") % 8).alias("tbl"), "lsn", "key"), limit=8)
+    """Freezes at eight keys, one flush behind each write, two frozen memtables at most; level 0 has no limits here."""
+    writes = _writes(spark, d).select((F.col("key") % 8).alias("tbl"), "lsn", "key")
+    folded = stateful.memtable_fold(writes, limit=8, trigger=1 << 40, stop=1 << 40)
+    return folded.select("tbl", "freezes", "flushes", "stalls", "retained")
 
 
-@query()
+@query(
+    """SELECT tbl, slots[p] AS key, (p - 1) // 4 AS block, ((p - 1) % 4)::INT AS slot
+FROM (SELECT tbl, slots, unnest(range(1, len(slots) + 1)) AS p FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY tbl ORDER BY i DESC) = 1)) WHERE slots[p] <> -1""",
+    "RECURSIVE " + _LOG + ", " + _STEPS + """,
+s AS (SELECT tbl, 0::BIGINT AS i, []::BIGINT[] AS slots FROM n GROUP BY tbl
+  UNION ALL
+  SELECT s.tbl, n.i, CASE
+    WHEN n.op = 'delete' THEN list_transform(s.slots, lambda x: CASE WHEN x = n.key THEN -1 ELSE x END)
+    WHEN list_contains(s.slots, n.key) THEN s.slots
+    WHEN list_contains(s.slots, -1) THEN s.slots[:list_position(s.slots, -1) - 1] || [n.key] || s.slots[list_position(s.slots, -1) + 1:]
+    ELSE list_append(s.slots, n.key) END
+  FROM s JOIN n ON n.tbl = s.tbl AND n.i = s.i + 1)""",
+)
 def heap_placement(spark, d):
     return stateful.heap_placement(_writes(spark, d).select((F.col("key") % 8).alias("tbl"), "lsn", "key", "op"), per_page=4)
 
 
-from . import registry_storage  # noqa: E402, F401  (adds its queries)
+from . import registry_engines, registry_storage  # noqa: E402, F401  (add their queries)
