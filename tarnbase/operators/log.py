@@ -48,6 +48,19 @@ def split_runs(entries: DataFrame, per_file: int) -> DataFrame:
     return entries.withColumn("range", at).join(placed, "range").drop("range")
 
 
+def overlapping(upper: DataFrame, lower: DataFrame, width: int) -> DataFrame:
+    """(upper, lower): pairs of key ranges (id, lo, hi) that overlap. Ranges meet in the buckets of `width` keys that they touch, a pair only in the first of both."""
+
+    def dealt(ranges: DataFrame, side: str) -> DataFrame:
+        first = F.floor(F.col("lo") / width)
+        buckets = F.explode(F.sequence(first, F.floor(F.col("hi") / width)))
+        return ranges.select(F.col("id").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}"), first.alias(f"first_{side}"), buckets.alias("bucket"))
+
+    met = dealt(upper, "upper").join(dealt(lower, "lower"), "bucket")
+    meets = (F.col("hi_upper") >= F.col("lo_lower")) & (F.col("lo_upper") <= F.col("hi_lower")) & (F.col("bucket") == F.greatest("first_upper", "first_lower"))
+    return met.where(meets).select("upper", "lower")
+
+
 def version_chain(versions: DataFrame, order: str = "lsn") -> DataFrame:
     """Adds the next version's transaction (`xmax`) and the depth in the chain, per key; aborted writers left out."""
     w = Window.partitionBy("key").orderBy(order)

@@ -212,10 +212,9 @@ def wal_retained(spark, d):
 
 @query("SELECT a.sst AS upper, b.sst AS lower FROM (SELECT sst, min(key) AS lo, max(key) AS hi FROM runs GROUP BY sst) a JOIN (SELECT sst, min(key) AS lo, max(key) AS hi FROM runs GROUP BY sst) b ON a.sst % 2 = 0 AND b.sst % 2 = 1 AND a.hi >= b.lo AND a.lo <= b.hi", _RUNS)
 def sst_overlaps(spark, d):
-    """Range overlaps of two levels; a manifest has a row per file, so its smaller side is broadcast by size."""
-    m = _runs(spark, d).groupBy("sst").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    a, b = m.where("sst % 2 = 0").alias("a"), m.where("sst % 2 = 1").alias("b")
-    return a.join(b, F.expr("a.hi >= b.lo AND a.lo <= b.hi")).select(F.col("a.sst").alias("upper"), F.col("b.sst").alias("lower"))
+    """Range overlaps of two levels, met by buckets of keys."""
+    m = _runs(spark, d).groupBy(F.col("sst").alias("id")).agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    return log.overlapping(m.where("id % 2 = 0"), m.where("id % 2 = 1"), 50)
 
 
 _MUL = "(({a})::HUGEINT * {b} % 4294967296)::BIGINT"

@@ -364,3 +364,20 @@ def test_scenarios(spark):
     assert len(scenarios.SCENARIOS) >= 53 and len({s.id for s in scenarios.SCENARIOS}) == len(scenarios.SCENARIOS)
     for s in scenarios.SCENARIOS[::3]:
         assert scenarios.run(spark, s).table().count() == s.rows, s.id
+
+
+def test_overlaps_against_all_pairs(spark):
+    rng = random.Random(9)
+    a, b = ([(i, x, x + rng.randrange(0, 90)) for i in range(40) for x in [rng.randrange(-200, 500)]] for _ in range(2))
+    frame = lambda r: spark.createDataFrame(r, "id bigint, lo bigint, hi bigint")
+    want = sorted((i, j) for i, x, y in a for j, u, v in b if y >= u and x <= v)
+    assert sorted(map(tuple, log.overlapping(frame(a), frame(b), 25).collect())) == want
+
+
+def test_clock_over_many_blocks(spark):
+    rows = [(i * 3, i % 7) for i in range(500)]
+    got = events.clock(spark.createDataFrame(rows, "seq bigint, duration bigint"), block=10).orderBy("seq").collect()
+    total = 0
+    for (_, x), r in zip(rows, got):
+        total += x
+        assert r.t == total
