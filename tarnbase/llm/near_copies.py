@@ -40,6 +40,8 @@ SAMPLE_DOCS, SAMPLE_SHARE, COMMON_LEAST, COMMON_MOST = 2_000, 0.1, 2, 500_000
 SHARED = 8
 #: Rows of one centre that one group verifies; shingles of one class of prefix blocks.
 SHARE, CLASS_SHINGLES = 64, 4_000_000
+#: Shingles of a component up to which they are ordered.
+ORDERED = 4_096
 _LOW = (1 << 40) - 1
 
 
@@ -233,20 +235,31 @@ def hub_candidates(open_: DataFrame, similarity: float) -> DataFrame:
     return met.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("a")).select("a", F.col("node").alias("b"))
 
 
+def _least_required(lo: Column, hi: Column, similarity: float) -> Column:
+    """The least that `required` is for sizes from lo to hi."""
+    least = F.least(F.lit(SHARED), F.ceil(similarity * lo - 1e-9))
+    wide = F.when(lo * similarity >= SHARED, F.floor(similarity / (1 + similarity) * (lo + hi)) + SHARED - F.ceil(similarity * hi) - 1).otherwise(0)
+    return F.greatest(least, wide)
+
+
 def root_candidates(open_: DataFrame, similarity: float) -> DataFrame:
     """(x, y): pairs of components of which some members may be similar, by the shingles that the prefixes of all their members have.
 
-    A component has a row for each shingle, however many members it has.
+    A component has a row for each shingle, however many members it has. Its shingles are ordered by the number of components that have them, and `rest` counts those
+    behind one: of the shingles that a pair shares the first has enough behind it on both sides, so only shingles that do need to meet.
     """
     held = open_.groupBy("h", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = (held.select("h", *[F.col(c).alias(f"{side}_{c}") for c in ("root", "lo", "hi")]) for side in "xy")
+    many = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    held = cut(held.join(many, "h"))
+    size = held.groupBy("root").agg(F.count(F.lit(1)).alias("all"))
+    held = held.join(size, "root")
+    # Of a component with very many shingles the order isn't taken: all of them may have enough behind them.
+    few = held.where(F.col("all") <= ORDERED).withColumn("rest", F.col("all") - F.row_number().over(Window.partitionBy("root").orderBy("df", "h")))
+    ranked = few.unionByName(held.where(F.col("all") > ORDERED).withColumn("rest", F.col("all")))
+    x, y = (ranked.select("h", *[F.col(c).alias(f"{side}_{c}") for c in ("root", "lo", "hi", "rest")]) for side in "xy")
     sizes = (F.col("x_lo") * similarity <= F.col("y_hi") + 1e-9) & (F.col("y_lo") * similarity <= F.col("x_hi") + 1e-9)
-    met = x.join(y, "h").where((F.col("x_root") < F.col("y_root")) & sizes)
-    met = met.groupBy(F.col("x_root").alias("x"), F.col("y_root").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("x_lo", "y_lo")).alias("lo"), F.max(F.greatest("x_hi", "y_hi")).alias("hi"))
-    # The least that `required` is for sizes from lo to hi.
-    least = F.least(F.lit(SHARED), F.ceil(similarity * F.col("lo") - 1e-9))
-    wide = F.when(F.col("lo") * similarity >= SHARED, F.floor(similarity / (1 + similarity) * (F.col("lo") + F.col("hi"))) + SHARED - F.ceil(similarity * F.col("hi")) - 1).otherwise(0)
-    return met.where(F.col("c") >= F.greatest(least, wide)).select("x", "y")
+    enough = F.least("x_rest", "y_rest") + 1 >= _least_required(F.least("x_lo", "y_lo"), F.greatest("x_hi", "y_hi"), similarity)
+    return x.join(y, "h").where((F.col("x_root") < F.col("y_root")) & sizes & enough).select(F.col("x_root").alias("x"), F.col("y_root").alias("y")).distinct()
 
 
 def _verified_roots(pairs: DataFrame, open_: DataFrame, keyed: DataFrame, nodes: DataFrame, similarity: float, width: int) -> DataFrame:
