@@ -49,7 +49,7 @@ def op6_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.find_secrets(_table(spark, sf_dir, "documents")).drop("masked")
+    return secret_scan.find_secrets(_table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-Two first-order character models are estimated from labelled samples; a token whose log-likelihood ratio per character is above
-`THRESHOLD` is a span of kind `random`, unless it touches a pattern's span. Of other tokens each piece between `=` is judged in the same way, and then by its
-best stretch: a stretch whose ratios sum to `STRETCH` or more is a span, widened to the next `/`, so names and paths in front of a secret don't hide it. Texts pass through Arrow batches, one at a time.
+Two first-order character models are estimated from labelled samples. They judge every run of `[A-Za-z0-9+/_=-]`, or what a pattern's span leaves of it, of
+`STRETCH_LEAST` characters: it is a span of kind `random` if its log-likelihood ratio per character is above `THRESHOLD` and, where it is short or lacks digits or letters, so that a
+word could reach that by chance, its sum is above `TOTAL`. Of others each piece between `=` is judged in the same way, and then by its
+best stretch: a stretch whose ratios sum to `STRETCH` (`TOTAL` for the others) or more is a span, widened to the next `/`, so names and paths in front of a secret don't hide it.
+Texts pass through Arrow batches, one at a time.
 
 Defined cases: a null text has no spans; spans are code points, end exclusive; very long texts are scanned whole; equal rows give equal rows; an
 empty table gives an empty table; other columns may have any name.
@@ -29,11 +31,11 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = ("passw", "secret", "token", "api")
-#: Tokens that the models judge: long runs with a digit and a letter.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-THRESHOLD = 0.25
-#: Least sum of log ratios of a random stretch inside a token, and its least length.
-STRETCH, STRETCH_LEAST = 10.0, 12
+#: Tokens that the models judge; from `LONG` characters with a digit and a letter on the ratio per character suffices.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+THRESHOLD, LONG = 0.25, 20
+#: Least sum of log ratios of a random stretch inside a token, its least length, and the least sum of short tokens and those without digits or letters.
+STRETCH, STRETCH_LEAST, TOTAL = 10.0, 12, 16.0
 PIECE = re.compile(r"[^=]+")
 _CLASS = str.maketrans({c: "x" for c in "+/=-_"})
 # Words that identifiers are made of.
@@ -124,17 +126,29 @@ class Markov:
         return best
 
 
-def random_parts(s: str, model: Markov, threshold: float) -> list[tuple[int, int]]:
-    """(start, end) of the random parts of a token that isn't random as a whole."""
+def random_parts(s: str, model: Markov, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """(start, end) of the random parts of a token: itself, or pieces and stretches of it."""
+
+    def least(x: str) -> float:
+        return STRETCH if len(x) >= LONG and any(c.isdigit() for c in x) and any(c.isalpha() for c in x) else TOTAL
+
+    def whole(x: str) -> bool:
+        mean = model.score(x)
+        return mean > threshold and (least(x) == STRETCH or mean * len(x) >= TOTAL)
+
+    if not any(c.isalnum() for c in s):
+        return []
+    if whole(s):
+        return [(0, len(s))]
     found, todo = [], [(m.start(), m.end(), True) for m in PIECE.finditer(s)]
     while todo:
-        a, b, whole = todo.pop()
+        a, b, first = todo.pop()
         if b - a < STRETCH_LEAST:
             continue
         total, start, end = model.stretch(s[a:b])
-        if total < STRETCH or end - start < STRETCH_LEAST:
+        if total < least(s) or end - start < STRETCH_LEAST:
             continue
-        if whole and model.score(s[a:b]) > threshold:
+        if first and whole(s[a:b]):
             found.append((a, b))
             continue
         left, right = max(a, s.rfind("/", a, a + start) + 1), s.find("/", a + end, b)
@@ -145,6 +159,17 @@ def random_parts(s: str, model: Markov, threshold: float) -> list[tuple[int, int
     return sorted((a, len(s) if not s[b:].strip("=") else b) for a, b in found)
 
 
+def outside(start: int, end: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the sorted spans leave of a stretch."""
+    out = []
+    for a, b in base:
+        if b > start and a < end:
+            if a > start:
+                out.append((start, a))
+            start = max(start, b)
+    return [*out, (start, end)] if start < end else out
+
+
 def scan(text: str | None, model: Markov | None = None, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, by start and then kind. Without a model: the base spans."""
     if not text:
@@ -157,17 +182,11 @@ def scan(text: str | None, model: Markov | None = None, threshold: float = THRES
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if model is not None:
-        base = [(s, e) for _, s, e in found]
+        base = sorted((s, e) for _, s, e in found)
         for m in TOKEN.finditer(text):
-            s = m[0]
-            if s.isalpha() or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-                continue
-            if any(a < m.end() and m.start() < b for a, b in base):
-                continue
-            if model.score(s) > threshold:
-                found.append(("random", m.start(), m.end()))
-            else:
-                found += [("random", m.start() + a, m.start() + b) for a, b in random_parts(s, model, threshold)]
+            for a, b in outside(m.start(), m.end(), base) if base else ((m.start(), m.end()),):
+                if b - a >= STRETCH_LEAST:
+                    found += [("random", a + x, a + y) for x, y in random_parts(text[a:b], model, threshold)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -194,8 +213,8 @@ def masked(text: str | None, spans: list[tuple[str, int, int]], mark: str = "[SE
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, labelled: Iterable[tuple[str, int]] | None = None) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans, masked) of every row."""
+def find_secrets(docs: DataFrame, labelled: Iterable[tuple[str, int]] | None = None, with_text: bool = True) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) of every row, and the text `masked` if that is wanted."""
     model = Markov.train(labelled if labelled is not None else samples())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,16 +227,19 @@ def find_secrets(docs: DataFrame, labelled: Iterable[tuple[str, int]] | None = N
                     counts[k].append(sum(x[0] == k for x in found))
                 digests.append(hashlib.sha256(joined(x for x in found if x[0] != "random").encode()).hexdigest())
                 spans.append(joined(found))
-                texts.append(masked(text, found))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(texts, pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "masked"])
+                if with_text:
+                    texts.append(masked(text, found))
+            arrays = [b.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests, pa.string()), pa.array(spans, pa.string())]
+            names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string())] if with_text else arrays, names=[*names, "masked"] if with_text else names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, masked string"
+    schema = f"doc_id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string" + (", masked string" if with_text else "")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def mask_secrets(docs: DataFrame, labelled: Iterable[tuple[str, int]] | None = None) -> DataFrame:
-    """The same rows and columns, with `text` masked and `n_chars`, if there, counted anew where the text changed."""
+    """The same rows and columns, with `text` masked and `n_chars`, if there and not null, counted anew."""
     model = Markov.train(labelled if labelled is not None else samples())
     names, at = docs.columns, docs.columns.index("text")
 
