@@ -42,12 +42,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tarnbase-")
-    return found
+    """The folder that driver and executors share: what `spark.checkpoint.dir` names; a temporary one only on a local master."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tarnbase-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library has written, on whatever store it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 #: Thin rows that may be sent to every executor; larger sides are joined by exchange.

@@ -143,6 +143,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -
     picked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("__y"))
     picked = picked.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "__id")
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))  # at most `most` ids
+    # One text of each id, so that no more rows than ids come to the driver; of several rows with one id, the first in text order.
+    texts = texts.groupBy("doc_id", "__y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()

@@ -531,9 +531,10 @@ TRICKY = ["secret: token: abcdefgh", "TOKEN=abc password = 'hunter2hunter2'", "a
 
 def test_base_spans(docs):
     texts = TRICKY + [r.text for r in docs.select("text").collect()]
+    model = secret_scan.Markov.train(secret_scan.samples())
     for t in texts:
         assert secret_scan.scan(t) == plain_spans(t)
-        got = secret_scan.scan(t, secret_scan.Markov.train(secret_scan.samples()))
+        got = secret_scan.scan(t, model)
         assert [x for x in got if x[0] != "random"] == plain_spans(t)
 
 
@@ -561,6 +562,39 @@ def test_secrets_behind_names_and_paths():
     assert sum(bool(secret_scan.scan(t, model)) for t in tokens) <= 5
 
 
+def test_query_against_patterns(spark, sf, docs):
+    """Counts, digest and spans of the query itself: the base spans by plain patterns, the others none of theirs and no word of clean documents."""
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.op7_secret_scan(spark, sf).collect():
+        base = plain_spans(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for k, _, _ in base) for x in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        found = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        more = [x for x in found if x[0] == "random"]
+        assert [x for x in found if x[0] != "random"] == base and len(more) == r.n_random
+        assert not any(a < y and x < b for _, a, b in more for _, x, y in base)
+
+
+def test_models_on_other_words_and_lengths(docs):
+    """Recall by length and alphabet, and precision on names made of the documents' own words, which no sample has."""
+    model, rng = secret_scan.Markov.train(secret_scan.samples()), random.Random(77)
+    words = sorted({w for r in docs.collect() for w in re.findall("[A-Za-z]{3,12}", r.text or "")})
+    joined = lambda: rng.choice("_-/").join(rng.choices(words, k=rng.randrange(2, 6))) + rng.choice(["", "", "_v2", "-2024", "=1"])
+    assert sum(bool(secret_scan.scan(joined(), model)) for _ in range(3000)) <= 30
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet, least in ((letters, {16: 0.6, 20: 0.85, 32: 0.97}), (letters + "0123456789", {12: 0.35, 16: 0.85, 20: 0.98, 32: 0.99})):
+        for n, want in least.items():
+            found = [secret_scan.scan("see " + "".join(rng.choices(alphabet, k=n)) + " there", model) for _ in range(500)]
+            assert sum(any(k != "hex" and b - a >= 0.8 * n for k, a, b in x) for x in found) >= want * 500, (len(alphabet), n)
+
+
+def test_rest_of_a_token_beside_a_pattern():
+    model = secret_scan.Markov.train(secret_scan.samples())
+    text = "Zk3xQ9vRw7LmTb2Yp8Hs/" + "0123456789abcdef" * 2
+    spans = secret_scan.scan(text, model)
+    assert [k for k, _, _ in spans] == ["random", "hex"] and spans[0][2] <= spans[1][1]
+
+
 # -- 8 -----------------------------------------------------------------------------------------------------
 
 
@@ -595,6 +629,30 @@ def test_leaks_against_brute_force(spark, sf, docs):
     assert kept == {r.doc_id for r in rows} - {i for i, _ in want}
 
 
+def test_blocks_prune_and_lose_nothing(spark, monkeypatch):
+    """Edited copies of items among unlike windows: all at 0.8 or more agree on a block, few of the others do; the same leaks without broadcast."""
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [rng.choices(vocabulary, k=60) for _ in range(60)]
+    docs, near = [], 0
+    for i in range(600):
+        words = list(items[i % 60]) if i < 300 else rng.choices(vocabulary, k=60)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(60)] = rng.choice(vocabulary)
+        docs.append((i, " ".join(words)))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([*items, items[0]])], "item_id bigint, text string")
+    want = {(i, j): s for i, t in docs[:300] for j in {i % 60} | ({60} if i % 60 == 0 else set()) if (s := best_similarity(t, " ".join(items[j % 60]))) >= 0.8}
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.find_leaks(d, bench).collect()}
+    assert got == pytest.approx(want) and len(want) > 150
+    hashed = d.select(F.col("doc_id").alias("__k1"), F.lit(0).alias("__k2"), F.split("text", " ").alias("w")).select("__k1", "__k2", F.lit(56).alias("m"), F.lit(0).alias("s"), F.sort_array(decontam.shingle_hashes("w")).alias("wh"))
+    of_item = bench.select(F.col("item_id").alias("iid"), F.split("text", " ").alias("w")).select("iid", F.lit(56).alias("m"), F.sort_array(decontam.shingle_hashes("w")).alias("ih"))
+    met = {(r["__k1"], r.iid) for r in decontam.candidates(hashed, of_item, 0.8, 1000).collect()}
+    assert set(want) <= met and len(met) < 0.05 * 600 * 61
+    monkeypatch.setattr(decontam.shared, "BROADCAST_ROWS", 20)
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontam.find_leaks(d, bench).collect()} == pytest.approx(want)
+
+
 def test_reordered_leaks(spark):
     """No window that starts where the item's own start would be is similar enough: its halves stand in the other order."""
     words, tail = [f"w{i}" for i in range(60)], [f"t{i}" for i in range(70)]
