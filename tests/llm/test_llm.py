@@ -88,6 +88,22 @@ def test_empty_and_awkward_tables(spark, awkward, sf):
         mixed.collect()
 
 
+def test_values_on_awkward_rows(spark):
+    """Null, empty, equal and id-less rows, beside columns whose names results have, too."""
+    rows = [(1, None, "s", 7), (2, "", "s", 7), (2, "", "s", 7), (None, "x", None, 7)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, source string, n_email int").withColumns({"spans": F.lit("z"), "digest": F.lit("z"), "score": F.lit("z"), "target": F.lit("z")})
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert order(licences.scan_licences(d).select("doc_id", "digest", "license_id", "notices").collect()) == order([(1, sha(""), None, ""), (2, sha(""), None, ""), (2, sha(""), None, ""), (None, sha("x"), None, "")])
+    assert order(secret_scan.find_secrets(d).select("doc_id", "n_assign", "base_sha256", "spans", "masked").collect()) == order([(i, 0, sha(""), "", t) for i, t, _, _ in rows])
+    assert order(pii_feistel.pseudonymise(d, KEY).select("doc_id", "text", "n_email", "spans").collect()) == order([(i, t, 0, "z") for i, t, _, _ in rows])
+    labels = spark.createDataFrame([], "doc_id int, quality int")
+    assert order(fm_quality.score_quality(d, labels).select("doc_id", "score").collect()) == order([(i, 0.5) for i, _, _, _ in rows])
+    mixed = entropy_mix.entropy_mix(d).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert order(mixed) == order([(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0), (None, 1, 1, 1.0, 1)])
+    assert decontam.find_leaks(d, spark.createDataFrame([(1, None), (2, "")], "item_id int, text string")).count() == 0
+
+
 # -- 1 -----------------------------------------------------------------------------------------------------
 
 
