@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .events import blocked_before
 
+#: Starts and ranges of one piece that one share holds against each other.
+MET = 1024
+
 
 def newest(log: DataFrame, key: str = "key", order: str = "lsn") -> DataFrame:
     """The newest row of each key. max_by combines on the map side, so a hot key costs one row per task."""
@@ -49,16 +52,31 @@ def split_runs(entries: DataFrame, per_file: int) -> DataFrame:
 
 
 def overlapping(upper: DataFrame, lower: DataFrame, width: int) -> DataFrame:
-    """(upper, lower): pairs of key ranges (id, lo, hi) that overlap. Ranges meet in the buckets of `width` keys that they touch, a pair only in the first of both."""
-
-    def dealt(ranges: DataFrame, side: str) -> DataFrame:
-        first = F.floor(F.col("lo") / width)
-        buckets = F.explode(F.sequence(first, F.floor(F.col("hi") / width)))
-        return ranges.select(F.col("id").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}"), first.alias(f"first_{side}"), buckets.alias("bucket"))
+    """(upper, lower): pairs of key ranges (id, lo, hi) that overlap.
 
-    met = dealt(upper, "upper").join(dealt(lower, "lower"), "bucket")
-    meets = (F.col("hi_upper") >= F.col("lo_lower")) & (F.col("lo_upper") <= F.col("hi_lower")) & (F.col("bucket") == F.greatest("first_upper", "first_lower"))
-    return met.where(meets).select("upper", "lower")
+    Of two that overlap one starts in the other. In blocks of `width` keys a range is made of at most two aligned pieces of each power of two, and a start lies in one piece of a
+    range or none, so a pair meets once however long both are. Pieces with many starts and ranges are dealt to shares of `MET` by `MET`.
+    """
+    key = ["turn", "level", "cell"]
+    both = upper.select("id", "lo", "hi", F.lit(True).alias("up")).union(lower.select("id", "lo", "hi", F.lit(False).alias("up")))
+    both = both.select("*", F.floor(F.col("lo") / width).alias("first"), F.floor(F.col("hi") / width).alias("last"))
+    both = both.withColumn("deep", F.floor(F.log2(F.col("last") - F.col("first") + 1)).cast("int"))
+    top = both.agg(F.max("deep").alias("top"))
+    starts = "transform(sequence(0, top), k -> struct(NOT up AS turn, k AS level, shiftright(first, k) AS cell, true AS starts))"
+    left, right = "-shiftright(-first, k)", "shiftright(last + 1, k)"
+    ends = [f"if({left} < {right} AND {odd} % 2 <> 0, {cell}, null)" for odd, cell in ((left, left), (right, f"{right} - 1"))]
+    pieces = f"flatten(transform(sequence(0, deep), k -> array({', '.join(f'struct(up AS turn, k AS level, {x} AS cell, false AS starts)' for x in ends)})))"
+    # The other side is one row.
+    dealt = both.join(F.broadcast(top)).select("id", "lo", "hi", "first", F.explode(F.expr(f"concat({starts}, {pieces})")).alias("x")).select("id", "lo", "hi", "first", "x.*").where("cell IS NOT NULL")
+    share = lambda rows: F.ceil(F.count_if(rows) / F.lit(MET)).cast("int")
+    cells = dealt.groupBy(*key).agg(share(F.col("starts")).alias("np"), share(~F.col("starts")).alias("nr")).where("np > 0 AND nr > 0")
+    own, every = "int(pmod(xxhash64(id), {0}))", "explode(sequence(0, {0} - 1))"
+    held = dealt.join(cells, key)
+    x = held.where("starts").select(*key, F.col("id").alias("p"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"), F.col("first").alias("p_first"), F.expr(own.format("np")).alias("i"), F.expr(every.format("nr")).alias("j"))
+    y = held.where("NOT starts").select(*key, "id", "lo", "hi", "first", F.expr(every.format("np")).alias("i"), F.expr(own.format("nr")).alias("j"))
+    # Of two that start in one block, only the upper one's start counts.
+    met = x.join(y, [*key, "i", "j"]).where("p_lo <= hi AND p_hi >= lo AND (NOT turn OR p_first > first)")
+    return met.select(F.when(F.col("turn"), F.col("id")).otherwise(F.col("p")).alias("upper"), F.when(F.col("turn"), F.col("p")).otherwise(F.col("id")).alias("lower"))
 
 
 def version_chain(versions: DataFrame, order: str = "lsn") -> DataFrame:

@@ -374,6 +374,17 @@ def test_overlaps_against_all_pairs(spark):
     assert sorted(map(tuple, log.overlapping(frame(a), frame(b), 25).collect())) == want
 
 
+def test_overlaps_of_very_long_ranges(spark, monkeypatch):
+    """Ranges of any length, blocks of one key and shares of two: lengths don't make rows, each pair comes once."""
+    monkeypatch.setattr(log, "MET", 2)
+    rng = random.Random(10)
+    a, b = ([(i, x, x + rng.choice([0, 1, 7, 10**3, 10**12])) for i in range(30) for x in [rng.choice([-(10**12), -9, 0, 5]) + rng.randrange(12)]] for _ in range(2))
+    frame = lambda r: spark.createDataFrame([*r, (99, None, None)], "id bigint, lo bigint, hi bigint")
+    want = sorted((i, j) for i, x, y in a for j, u, v in b if y >= u and x <= v)
+    assert sorted(map(tuple, log.overlapping(frame(a), frame(b), 1).collect())) == want
+    assert log.overlapping(frame([]), frame(b), 1).isEmpty()
+
+
 def test_clock_over_many_blocks(spark):
     rows = [(i * 3, i % 7) for i in range(500)]
     got = events.clock(spark.createDataFrame(rows, "seq bigint, duration bigint"), block=10).orderBy("seq").collect()
