@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +67,15 @@ BROADCAST_ROWS = 250_000
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """A hint to broadcast only where the counted rows are within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, what runs gets Arrow batches of at most so many rows: whole texts in large batches take memory in the JVM and in Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

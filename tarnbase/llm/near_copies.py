@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, row_key
+from .common import BROADCAST_ROWS, arrow_batches, bounded, cut, row_key
 from .components import components
 from .simhash_bk import RADIUS, fingerprint_of, shard_links, shards, shingle_hashes
 
@@ -42,6 +42,8 @@ SHARED = 8
 SHARE, CLASS_SHINGLES = 64, 4_000_000
 #: Shingles of a component up to which they are ordered.
 ORDERED = 4_096
+#: Rows of an Arrow batch; a row has a whole text.
+TEXT_ROWS = 1_000
 _LOW = (1 << 40) - 1
 
 
@@ -124,7 +126,7 @@ def shared_shingles(texts: DataFrame, common: list[tuple[int, int]], similarity:
                 if len(hashes) and len(h):
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                     h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
-                firsts.append(h[: len(h) - needed(len(h), similarity) + SHARED])
+                firsts.append(h[: len(h) - needed(len(h), similarity) + SHARED].copy())  # not a view that holds the whole set
             flat = np.concatenate([np.empty(0, np.int64), *firsts])
             own = np.repeat(np.array(nodes, np.uint64).view(np.int64), [len(f) for f in firsts])
             class_ = (flat >> 40) % classes
@@ -200,7 +202,8 @@ def _verified(pairs: DataFrame, keyed: DataFrame, held: DataFrame, similarity: f
 
 def simhash_candidates(nodes: DataFrame) -> DataFrame:
     """(a, b): each node and the least node of those that its fingerprint reaches within `RADIUS` bits."""
-    roots = components(shard_links(shards(nodes.select("fp").distinct(), RADIUS), RADIUS)).select(F.col("node").alias("fp"), F.col("root").alias("r"))
+    roots = components(shard_links(shards(nodes.select("fp").distinct(), RADIUS), RADIUS), alone=BROADCAST_ROWS)
+    roots = cut(roots.select(F.col("node").alias("fp"), F.col("root").alias("r")))
     named = nodes.select("node", "fp").join(bounded(roots, roots.count()), "fp", "left").select("node", F.coalesce("r", "fp").alias("r"))
     centres = cut(named.groupBy("r").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("r", "a"))
     return named.join(bounded(centres, centres.count()), "r").where("a <> node").select("a", F.col("node").alias("b"))
@@ -219,7 +222,7 @@ def _sizes(n: str, m: str, similarity: float) -> Column:
 
 def _open(shared: DataFrame, info: DataFrame, links: DataFrame) -> DataFrame:
     """(h, node, n, weight, root): the shingles that nodes of different components share."""
-    roots = cut(components(links))
+    roots = cut(components(links, alone=BROADCAST_ROWS))
     known = cut(info.join(bounded(roots, roots.count()), "node", "left").select("node", "n", "weight", F.coalesce("root", "node").alias("root")))
     named = shared.join(bounded(known, known.count()), "node")
     same = Window.partitionBy("h")
@@ -313,6 +316,12 @@ def _verified_roots(pairs: DataFrame, open_: DataFrame, keyed: DataFrame, nodes:
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE_WORDS) -> DataFrame:
     """(__k1, __k2, root) of every row: rows of one root are linked by pairs of the similarity or more."""
+    # Whatever runs Python is cut in there; the result is a join of what was cut.
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        return _near_copies(docs, similarity, width)
+
+
+def _near_copies(docs: DataFrame, similarity: float, width: int) -> DataFrame:
     keyed = docs.select("text", *row_key(F.col("doc_id"), F.col("text")))
     held = cut(nodes_of(keyed, width))
     nodes = cut(held.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min(F.struct("__k1", "__k2")).alias("k"), F.count(F.lit(1)).alias("rows")))
@@ -331,7 +340,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
         open_ = _open(open_.select("h", "node"), info, links)
     last = _verified_roots(root_candidates(open_, similarity), open_, keyed, nodes, similarity, width)
 
-    roots = cut(components(links.union(last)))
+    roots = cut(components(links.union(last), alone=BROADCAST_ROWS))
     return held.join(bounded(roots, roots.count()), "node", "left").select("__k1", "__k2", F.coalesce("root", "node").alias("root"))
 
 

@@ -355,6 +355,33 @@ def test_components_of_a_long_chain(spark):
     assert {r.root for r in components.components(df).collect()} == {0}
 
 
+def test_components_of_few_edges_in_one_task(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = [(rng.randrange(-150, 150), rng.randrange(-150, 150)) for _ in range(170)] + [(3, 3), (-(2**63), 2**63 - 1), (2**63 - 1, 400)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
+    stars = sorted(map(tuple, components.components(df).collect()))
+    assert stars == sorted(map(tuple, components.components(df, alone=1).collect()))  # more than that go by stars
+    chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    monkeypatch.setattr(components, "_large_star", None)
+    assert stars == sorted(map(tuple, components.components(df, alone=1000).collect()))
+    assert {r.root for r in components.components(chain, alone=1000).collect()} == {0}
+    assert components.components(df.where("a > 1000 AND b < 0"), alone=1000).collect() == []
+
+
+def test_near_copies_in_small_batches_without_stars(spark, docs, monkeypatch):
+    """Few links need no rounds of exchanges, and texts reach Python a few at a time; the setting is as before afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, rows = spark.conf.get(key), docs.limit(60).cache()
+    want = sorted(map(tuple, near_copies.keep_one(rows).select("doc_id", "text").collect()), key=repr)
+    seen, nodes_of = [], near_copies.nodes_of
+    monkeypatch.setattr(near_copies, "nodes_of", lambda *a: (seen.append(spark.conf.get(key)), nodes_of(*a))[1])
+    monkeypatch.setattr(near_copies, "TEXT_ROWS", 7)
+    monkeypatch.setattr(components, "_large_star", None)
+    assert sorted(map(tuple, near_copies.keep_one(rows).select("doc_id", "text").collect()), key=repr) == want
+    assert seen == ["7"] and spark.conf.get(key) == before
+    rows.unpersist()
+
+
 def plain_survivors(rows, similarity=0.8):
     """Rows (doc_id, text) that stay if pairs of this set similarity of 5-word shingles are linked."""
     rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
